@@ -166,8 +166,9 @@ def references(measured: DataFrame) -> DataFrame:
 
 def js_distance(left: Column, right: Column) -> Column:
     """Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of two histograms; null where one is empty."""
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
-    p, q = (F.transform(h, lambda x, t=total(h): x / F.nullif(t, F.lit(0.0))) for h in (left, right))
+    total = lambda h: F.nullif(F.aggregate(h, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    share = lambda h, t: F.transform(h, lambda x: x / t)
+    p, q = share(left, total(left)), share(right, total(right))
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     terms = F.zip_with(p, q, lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
