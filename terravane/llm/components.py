@@ -1,0 +1,26 @@
+"""Connected components of a link table, by least label with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stash
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for every end of links (a, b): label is the least node that a chain of links reaches.
+
+    A round lowers each label to the least of its neighbours' and then to the label of that node; rounds follow the
+    logarithm of the longest chain. Every round is written to the shared folder, so a lost executor costs one round.
+    """
+    both = stash(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_heard"))
+        lower = labels.join(heard, "node").select("node", F.least("label", "_heard").alias("_low"), F.col("label").alias("_old"))
+        jump = labels.select(F.col("node").alias("_low"), F.col("label").alias("_jump"))
+        after = stash(lower.join(jump, "_low", "left").select("node", F.least("_low", F.coalesce("_jump", "_low")).alias("label"), "_old"), "labels")
+        labels = after.select("node", "label")
+        if after.where("label <> _old").isEmpty():
+            return labels
