@@ -57,4 +57,12 @@ m as (select e.doc_id, e.bytes, e.depth, prefix, shard_bytes, shard_docs, row_nu
 select doc_id, bytes, depth::int as depth, ((1::bigint << depth::int) + prefix)::bigint as shard, shard_bytes, shard_docs from m where nth = 1
 """
 
-ORACLES = {"op1_mixing": OP1_MIXING, "op9_sharding": OP9_SHARDING}
+OP8_TOPK = """
+with v as (select vec_id, [floor(256.0::double * x::double)::bigint for x in embedding] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum([x[1] * x[2] for x in list_zip(q.e, c.e)])::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+ORACLES = {"op1_mixing": OP1_MIXING, "op8_topk": OP8_TOPK, "op9_sharding": OP9_SHARDING}
