@@ -6,6 +6,8 @@ it gives for the text. Texts outside the range where that pattern is restated he
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 
@@ -22,7 +24,7 @@ DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+"
 #: Characters beyond these, and the tokenizer's special strings, are left to the tokenizer itself.
 BEYOND = r"<\||[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]"
-MOST_PIECES = 300_000
+MOST_PIECES = 500_000
 END = 1
 
 
@@ -39,7 +41,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        self.tokenizer = Tokenizer.from_str(text)
+        parts = json.loads(text)  # pieces are normal and cut already, so only the step from bytes to symbols is left
+        parts |= {"normalizer": None, "pre_tokenizer": parts["pre_tokenizer"]["pretokenizers"][-1]}
+        self.by_piece = Tokenizer.from_str(json.dumps(parts))
         self.pieces = re.compile(PIECE)
         self.beyond = re.compile(BEYOND)
         self.known: dict[str, bytes] = {}
@@ -52,8 +59,8 @@ class Encoder:
         if len(self.known) > MOST_PIECES:
             self.known.clear()
         new = list({p for pieces in cut if pieces for p in pieces}.difference(self.known))
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
+        for piece, e in zip(new, self.by_piece.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[piece] = array.array("I", e.ids).tobytes()
         get = self.known.__getitem__
         return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
