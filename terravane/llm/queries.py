@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, ppm, quality, rules, sharding, suffix, topk
+from . import mixing, neardup, ordering, packing, ppm, quality, rules, sharding, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_quality, op4_rules, op5_suffix, op6_packing, op7_ppm, op8_topk, op9_sharding)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_quality, op4_rules, op5_suffix, op6_packing, op7_ppm, op8_topk, op9_sharding, op10_order)}
