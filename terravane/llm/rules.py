@@ -189,3 +189,9 @@ def judge(docs: DataFrame, class_limit: float = 0.16, common_limit: float = 0.22
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(enough & strange, F.lit(False)))
         .select("doc_id", *COUNTS, "base_failed", "class_distance", "common_distance", "kept")
     )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep; rows that share a doc_id are kept or go together, as the best of them is judged."""
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_good")), "left_semi")

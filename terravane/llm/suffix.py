@@ -20,6 +20,7 @@ import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import U64, blocks, mix, prefix_hash, span_hash, stash, text_bytes
 
@@ -128,9 +129,10 @@ def flat(doc: np.ndarray, version: np.ndarray, item: np.ndarray) -> pa.Table:
     return pa.table([pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(item, pa.int64())], schema=FLAT_ARROW)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id (null as the least number), version (a hash of the text, for rows that share a doc_id), b."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), text_bytes().alias("b"))
+def texts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id (null as the least number), version (a hash of the text, for rows that share a doc_id), b; row: the other columns."""
+    rest = [F.struct(F.col("text").isNull().alias("is_null"), *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("row")] if whole else []
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), text_bytes().alias("b"), *rest)
 
 
 def routed(rows: dict[str, np.ndarray], to: np.ndarray, names: list[str], buckets: int):
@@ -215,7 +217,7 @@ def rank_segments(source: DataFrame, buckets: int, length: int, gram: int, hot:
 def per_document(source: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Texts with the list of their items."""
     lists = found.groupBy(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).agg(F.collect_list("item").alias("items"))
-    return source.join(lists, (F.col("doc_id") == F.col("_d")) & (F.col("version") == F.col("_v")), how).select("doc_id", "version", "b", "items")
+    return source.join(lists, (F.col("doc_id") == F.col("_d")) & (F.col("version") == F.col("_v")), how).select(*source.columns, "items")
 
 
 def rank_windows(source: DataFrame, open_: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
@@ -289,15 +291,15 @@ def rank_windows(source: DataFrame, open_: DataFrame, buckets: int, length: int,
     return both.mapInArrow(run, "bucket long, body binary").groupBy("bucket").applyInArrow(rank, FLAT)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, version, b and items: each text with the runs of its windows whose string also starts earlier (null: none)."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole: bool = False) -> DataFrame:
+    """doc_id, version, b (and row) and items: each text with the runs of its windows whose string also starts earlier (null: none)."""
     source = texts(docs)
     total = source.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (32 << 20)))
     ranked = stash(rank_segments(source, buckets, length, gram, hot), "suffix-segments")
     kind = F.col("item").bitwiseAND(3)
     more = stash(rank_windows(source, ranked.where(kind.isin(OPEN, OPEN_HOT)), buckets, length, gram), "suffix-windows")
-    return per_document(source, ranked.where(kind == REMOVED).union(more), "left")
+    return per_document(texts(docs, whole), ranked.where(kind == REMOVED).union(more), "left")
 
 
 def cut_out(size: int, found: np.ndarray, length: int) -> tuple[np.ndarray, int]:
@@ -335,16 +337,16 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated strings cut from their texts; characters that a cut splits go too; null stays null."""
+    found = repeats(docs, length, whole=True).select("row", "b", "items")
 
     def run(batches):
         for batch in batches:
             kept = []
-            for body, found in zip(batch["b"], batch["items"], strict=True):
+            for body, found, none in zip(batch["b"], batch["items"], batch["row"].field("is_null").to_pylist(), strict=True):
                 data = np.frombuffer(body.as_buffer(), np.uint8)
                 found = np.asarray(found.values) if found.is_valid else ()
-                kept.append((data[cut_out(len(data), found, length)[0]] if len(found) else data).tobytes().decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(kept, pa.string())], names=["_d", "_v", "_text"])
+                kept.append(None if none else (data[cut_out(len(data), found, length)[0]] if len(found) else data).tobytes().decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(kept, pa.string())], names=["row", "text"])
 
-    changed = repeats(docs, length).where("items is not null").dropDuplicates(["doc_id", "version"]).mapInArrow(run, "_d long, _v long, _text string")
-    rows = docs.join(changed, (F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_v")), "left")
-    return rows.select(*[F.coalesce("_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    out = found.mapInArrow(run, StructType([found.schema["row"], StructField("text", StringType())]))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
