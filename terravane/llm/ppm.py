@@ -337,7 +337,7 @@ def scored(docs: DataFrame, of: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tasks score the trie and frequent words at once; rarer words go, by word, to buckets that count them over the training
-    texts and send each text its sum. No word there has more than a millionth of the corpus, so no bucket is hot.
+    texts and send each run of texts its sums, packed. No word there has more than a millionth of the corpus, so no bucket is hot.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(remainder(of) == held, F.lit(False)).alias("held_out"), text_bytes().alias("b"))
@@ -351,7 +351,7 @@ def scored(docs: DataFrame, of: int = 5, held: int = 1) -> DataFrame:
         known = shared.value
         for batch in batches:
             out_held = np.asarray(batch["held_out"].cast(pa.uint8()))
-            for a, b, data, offs in blocks(batch["b"], 4 << 20):
+            for a, b, data, offs in blocks(batch["b"], 2 << 20):
                 n, part = b - a, uuid.uuid4().int >> 66
                 score = np.concatenate([known.trie.score(d, o) for _, _, d, o in slices(data, offs)])
                 h, row = word_hashes(data, offs)
@@ -389,13 +389,19 @@ def scored(docs: DataFrame, of: int = 5, held: int = 1) -> DataFrame:
         for part, p in zip(table["part"].to_pylist(), parts, strict=True):
             b = a + len(p[1])
             row, back = np.unique(p[1], return_inverse=True)
-            out.append((np.full(len(row), part), row.astype(np.int32), np.bincount(back, value[a:b]), np.bincount(back, known[a:b]).astype(np.int64)))
+            out.append(shrunk(row, np.bincount(back, value[a:b]), np.bincount(back, known[a:b]).astype(np.int64)))
             a = b
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["part", "i", "base", "n_known"])
+        return pa.table({"part": table["part"], "body": pa.array(out, pa.binary())})
+
+    def total(table):
+        parts = [grown(x, np.uint32, np.float64, np.int64) for x in table["body"].to_pylist()]
+        row, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        base, known = (np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2))
+        return pa.table([pa.array(np.full(len(row), table["part"][0].as_py())), pa.array(row.astype(np.int32)), pa.array(base), pa.array(known.astype(np.int64))], names=["_p", "_i", "_base", "_known"])
 
     both = stash(rows.mapInArrow(run, f"part long, i int, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket long, body binary"), "scores")
-    more = both.where("bucket is not null").select("part", "bucket", "body").groupBy("bucket").applyInArrow(lambda t: add(t), "part long, i int, base double, n_known long")
-    more = more.groupBy(F.col("part").alias("_p"), F.col("i").alias("_i")).agg(F.sum("base").alias("_base"), F.sum("n_known").alias("_known"))
+    more = both.where("bucket is not null").select("part", "bucket", "body").groupBy("bucket").applyInArrow(lambda t: add(t), "part long, body binary")
+    more = more.groupBy("part").applyInArrow(lambda t: total(t), "_p long, _i int, _base double, _known long")
     out = both.where("bucket is null").join(more, (F.col("part") == F.col("_p")) & (F.col("i") == F.col("_i")), "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"),
