@@ -1,22 +1,23 @@
 """Token ids of whole texts by a public tokenizer, exact and with every distinct piece of text encoded once a task.
 
-The tokenizer works on pieces that its own pattern cuts, each on its own, so a table from piece to ids gives the ids that
-it gives for the text. Texts outside the range where that pattern is restated here go to the tokenizer whole.
+The tokenizer works on pieces that its own pattern cuts, each on its own, so a table from piece to ids, filled by the
+tokenizer's model, gives the ids that it gives for the text. Texts outside the range where that pattern is restated here go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import array
-import json
 import os
 import re
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
 import zlib
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import blocks, text_bytes
 
 #: The pattern of word_bpe_49k over Latin text, its letters and digits written out.
 LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ"
@@ -24,7 +25,7 @@ DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+"
 #: Characters beyond these, and the tokenizer's special strings, are left to the tokenizer itself.
 BEYOND = r"<\||[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]"
-MOST_PIECES = 500_000
+MOST_PIECES = 200_000
 END = 1
 
 
@@ -34,6 +35,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes that can belong to a character beyond the pattern's range; texts without them need no closer look.
+DOUBT = np.zeros(256, bool)
+DOUBT[[*range(9), *range(14, 32), 127, 0xC2, 0xC4, *range(0xCA, 256)]] = True
+
+
+def byte_symbols() -> dict[int, str]:
+    """The character by which a byte-level model spells each byte: itself where it is visible, else the next from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes."""
 
@@ -41,12 +54,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        self.tokenizer = Tokenizer.from_str(text)
-        parts = json.loads(text)  # pieces are normal and cut already, so only the step from bytes to symbols is left
-        parts |= {"normalizer": None, "pre_tokenizer": parts["pre_tokenizer"]["pretokenizers"][-1]}
-        self.by_piece = Tokenizer.from_str(json.dumps(parts))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.pieces = re.compile(PIECE)
         self.beyond = re.compile(BEYOND)
         self.known: dict[str, bytes] = {}
@@ -54,28 +63,45 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.beyond.search(t) else self.pieces.findall(t.lower()) for t in texts]
+    def piece(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.symbols)
+        return array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def encode(self, texts: list[bytes], doubt: list[bool]) -> list[bytes]:
+        """doubt: texts that hold bytes of DOUBT."""
+        out = []
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces}.difference(self.known))
-        for piece, e in zip(new, self.by_piece.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = array.array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        known, find, piece = self.known, self.pieces.findall, self.piece
+        for raw, odd in zip(texts, doubt, strict=True):
+            text = raw.decode("utf-8", "replace")
+            if "<|" in text or odd and self.beyond.search(text):
+                out.append(self.whole(text))
+                continue
+            found = find(text.lower())
+            for p in set(found).difference(known):
+                known[p] = piece(p)
+            out.append(b"".join(map(known.__getitem__, found)))
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer; it outlives a task, so pieces stay known."""
+    state = sys.modules.setdefault("terravane_worker_state", types.ModuleType("terravane_worker_state"))
+    if getattr(state, "path", None) != path:
+        state.path, state.encoder = path, Encoder(path)
+    return state.encoder
 
 
 def encoded(batches, path: str, end: int = END):
-    """(first row, rows, ids of each row with the end id) over runs of about a megabyte of text."""
-    encoder, last = Encoder(path), np.array([end], "<u4").tobytes()
+    """(rows, ids of each row with the end id) over runs of about a megabyte of text."""
+    held, last = encoder(path), np.array([end], "<u4").tobytes()
     for batch in batches:
-        col = batch["b"]
-        sizes = np.cumsum(np.asarray(pa.compute.binary_length(col)))
-        a = 0
-        while a < len(col):
-            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + (1 << 20), "right")))
-            yield batch.slice(a, b - a), [ids + last for ids in encoder.encode([x.decode("utf-8", "replace") for x in col.slice(a, b - a).to_pylist()])]
-            a = b
+        for a, b, data, offs in blocks(batch["b"]):
+            doubt = np.diff(np.concatenate([[0], np.cumsum(DOUBT[data])])[offs]) > 0
+            raw, cut = data.tobytes(), offs.tolist()
+            ids = held.encode([raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], doubt.tolist())
+            yield batch.slice(a, b - a), [x + last for x in ids]
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str = "word_bpe_49k.json", end: int = END, keep_ids: bool = False) -> DataFrame:
