@@ -33,6 +33,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, **named: Column) -> DataFrame:
+    """Whole rows as one column ``row`` beside the named ones, so that no name of the table can clash with ours."""
+    return docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *[v.alias(k) for k, v in named.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)])
+
+
 def id_hash(seed: str, *cols: str) -> Column:
     """A 60-bit hash of the columns' text that SQL engines agree on; nulls count as a text of their own."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]
@@ -121,6 +130,3 @@ def per_row(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
     """Sum of weights (or the count) for each of n rows."""
     return np.bincount(row, weights, n)
 
-
-def out_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)

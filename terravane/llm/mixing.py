@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_hash, stash
+from .common import WORD, boxed, id_hash, stash, unboxed
 
 
 def word_count(col: str = "text") -> Column:
@@ -114,5 +114,5 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     draw = id_hash(seed + "-draw", "doc_id") / F.lit(float(1 << 60))
     often = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
     many = mix(docs, seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(often).alias("_n"))
-    rows = docs.join(many.where("_n > 0"), docs["doc_id"].eqNullSafe(F.col("_id")) & (word_count() == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    rows = boxed(docs, key=docs["doc_id"], size=word_count()).join(many.where("_n > 0"), F.col("key").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    return unboxed(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))), docs.columns)

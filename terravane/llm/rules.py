@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, U64, blocks, mix, out_batch, per_row, prefix_hash, span_hash, stash, text_bytes, words
+from .common import GAP, U64, blocks, boxed, mix, per_row, prefix_hash, span_hash, stash, text_bytes, unboxed, words
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b".,;:!?'\"()-"
@@ -193,5 +193,5 @@ def judge(docs: DataFrame, class_limit: float = 0.16, common_limit: float = 0.22
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep; rows that share a doc_id are kept or go together, as the best of them is judged."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_good")), "left_semi")
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("good")).distinct()
+    return unboxed(boxed(docs, key=docs["doc_id"]).join(good, F.col("key").eqNullSafe(F.col("good")), "left_semi"), docs.columns)

@@ -48,6 +48,8 @@ def shard(docs: DataFrame, limit: int = 64 << 20, seed: str = "shard") -> DataFr
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 64 << 20) -> None:
-    """Write docs as one folder a shard; a shard is within the limit, so a task per shard has bounded memory."""
-    at = shard(docs, limit).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    docs.join(at, docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs as one folder a shard, with the column ``row`` holding the table's columns; a shard is within the limit,
+    so a task per shard has bounded memory."""
+    at = shard(docs, limit).select(F.col("doc_id").alias("at"), "shard").distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("key"))
+    whole.join(at, F.col("key").eqNullSafe(F.col("at"))).select("row", "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from .common import blocks, text_bytes
 
 #: The pattern of word_bpe_49k over Latin text, its letters and digits written out.
-LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ"
+LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+"
 #: Characters beyond these, and the tokenizer's special strings, are left to the tokenizer itself.
-BEYOND = r"<\||[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]"
+BEYOND = r"<\||[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017f]"
 MOST_PIECES = 200_000
 END = 1
 
@@ -37,7 +37,7 @@ def tokenizer_path(name: str) -> str:
 
 #: Bytes that can belong to a character beyond the pattern's range; texts without them need no closer look.
 DOUBT = np.zeros(256, bool)
-DOUBT[[*range(9), *range(14, 32), 127, 0xC2, 0xC4, *range(0xCA, 256)]] = True
+DOUBT[[*range(9), *range(14, 32), 127, 0xC2, 0xC4, *range(0xC6, 256)]] = True
 
 
 def byte_symbols() -> dict[int, str]:
