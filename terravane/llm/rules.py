@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, U64, blocks, boxed, mix, per_row, prefix_hash, span_hash, stash, text_bytes, unboxed, words
@@ -164,14 +164,13 @@ def references(measured: DataFrame) -> DataFrame:
     return cells.groupBy("lang").agg(pick("classes").alias("ref_classes"), pick("common").alias("ref_common"))
 
 
-def js_distance(left: Column, right: Column) -> Column:
-    """Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of two histograms; null where one is empty."""
-    total = lambda h: F.nullif(F.aggregate(h, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-    share = lambda h, t: F.transform(h, lambda x: x / t)
-    p, q = share(left, total(left)), share(right, total(right))
-    term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, q, lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+def js_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances (root of the divergence in bits, 0 to 1) of histograms, row by row; NaN where one is empty."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p, q = (h / h.sum(1, keepdims=True) for h in (left.astype(float), right.astype(float)))
+        m = (p + q) / 2
+        terms = sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0 * x) for x in (p, q)) / 2
+    return np.sqrt(np.maximum(0, terms.sum(1)))
 
 
 def judge(docs: DataFrame, class_limit: float = 0.16, common_limit: float = 0.22, noise: float = 1.0, least_words: int = 30, least_reference: int = 1000) -> DataFrame:
@@ -179,16 +178,25 @@ def judge(docs: DataFrame, class_limit: float = 0.16, common_limit: float = 0.22
     measured = stash(measure(docs), "rules")
     refs = references(measured).withColumnRenamed("lang", "_lang")
     both = measured.join(refs, F.col("lang").eqNullSafe(F.col("_lang")))
-    enough = (F.col("n_words") >= least_words) & (F.aggregate("ref_common", F.lit(0).cast("long"), lambda s, x: s + x) >= least_reference)
-    slack = F.lit(noise) / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))
-    strange = (F.col("class_distance") > class_limit + 0.8 * slack) | (F.col("common_distance") > common_limit + slack)
-    return (
-        both.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes")))
-        .withColumn("common_distance", js_distance(F.col("common"), F.col("ref_common")))
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(enough & strange, F.lit(False)))
-        .select("doc_id", *COUNTS, "base_failed", "class_distance", "common_distance", "kept")
-    )
+    kinds = {f.name: f.dataType.simpleString() for f in measured.schema}
+
+    def verdicts(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            wide = {k: np.asarray(batch[k].flatten()).reshape(n, -1) for k in ("classes", "common", "ref_classes", "ref_common")}
+            by_class, by_word = (js_distance(wide[k], wide[f"ref_{k}"]) for k in ("classes", "common"))
+            count, repeats = np.asarray(batch["n_words"]), np.asarray(batch["n_repeat_words"])
+            failed = (count < 10) | (100 * repeats > 20 * count)
+            slack = noise / np.sqrt(np.maximum(1, count))
+            strange = (by_class > class_limit + 0.8 * slack) | (by_word > common_limit + slack)
+            enough = (count >= least_words) & (wide["ref_common"].sum(1) >= least_reference)
+            found = [pa.array(failed), *[pa.array(x, mask=np.isnan(x)) for x in (by_class, by_word)], pa.array(~failed & ~(enough & strange))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[batch[c] for c in COUNTS], *found], names=["doc_id", *COUNTS, "base_failed", "class_distance", "common_distance", "kept"])
+
+    schema = f"doc_id {kinds['doc_id']}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, class_distance double, common_distance double, kept boolean"
+    return both.select("doc_id", *COUNTS, "classes", "common", "ref_classes", "ref_common").mapInArrow(verdicts, schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
