@@ -1,8 +1,9 @@
 """Training-order materialisation: token ids in fixed-stride shards, every sequence at a slot of a keyed permutation.
 
 Texts become sequences of up to ``length`` ids (two bytes each, padded), numbered in table order. A keyed Feistel network with
-cycle-walking permutes the numbers; a shard holds a range of slots, each at slot * stride, so a reader needs only a slot to
-resume. Shards are one file each, written by Spark's own committer, which a lost executor cannot leave half done.
+cycle-walking permutes the numbers; a shard holds a range of slots, each at an offset that follows from its slot, so a reader needs only a slot to
+resume. Shards are one file each, written by Spark's own committer, which a lost executor cannot leave half done; the text
+writer ends each block of 128 sequences with a line feed, which the offsets count.
 
 Edge cases: a null or empty text is one sequence of the end id; a document longer than a sequence is cut, never shortened;
 repeated rows are sequences of their own; an empty table gives an empty layout. Numbers follow the order of the table's files
@@ -19,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, shared_dir, stash, text_bytes
+from .common import U64, mix, own_dir, stash, text_bytes
 from .tokens import END, encoded, tokenizer_path
 
-LENGTH, SHARD_BYTES, ROUNDS, PAD = 512, 8 << 20, 6, 0xFFFF
+LENGTH, SHARD_BYTES, ROUNDS, PAD = 256, 8 << 20, 6, 0xFFFF
+BLOCK = 128  # sequences in a written row
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -58,15 +60,16 @@ class Layout:
     per_shard: int
     index: DataFrame
 
-    @property
-    def stride(self) -> int:
-        return 2 * self.length
+    def offset(self, slot: Column) -> Column:
+        """Where a slot starts in its shard's file."""
+        at = F.pmod(slot, F.lit(self.per_shard))
+        return (at * (2 * self.length) + F.floor(at / BLOCK)).cast("long")
 
 
 def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, tokenizer: str = "word_bpe_49k.json", end: int = END) -> Layout:
     """Write the shards below ``path`` (the shared folder by default); index: doc_id, piece, slot for every sequence."""
     spark, where = docs.sparkSession, tokenizer_path(tokenizer)
-    path = path or f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/training-order-{uuid.uuid4().hex}"
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -83,7 +86,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
     first = np.zeros(max(sums, default=-1) + 2, np.int64)
     first[1:] = np.cumsum([sums.get(t, 0) for t in range(len(first) - 1)])
     n = int(first[-1])
-    per_shard = max(1, shard_bytes // (2 * length))
+    per_shard = BLOCK * max(1, shard_bytes // (2 * length * BLOCK))
     start = spark.sparkContext.broadcast(first)
 
     def deal(batches):
@@ -96,7 +99,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             for parts in held.values():
                 slot, ids = zip(*parts, strict=True)
                 head = np.array([len(parts), *slot, *[len(x) // 2 for x in ids]], np.int64).tobytes()
-                body.append(zstandard.ZstdCompressor(level=1).compress(head + b"".join(ids)))
+                body.append(zstandard.ZstdCompressor(level=3).compress(head + b"".join(ids)))
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(body, pa.binary())], names=["shard", "body"])
 
         for batch in batches:
@@ -109,7 +112,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
                     held.setdefault(slots[j] // per_shard, []).append((slots[j], ids[a : a + 2 * length]))
                     j += 1
                 size += len(ids)
-            if size > 64 << 20:
+            if size > 32 << 20:
                 yield out()
                 held, size = {}, 0
         if held:
@@ -126,10 +129,11 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             ids = np.frombuffer(raw, "<u2", int(size.sum()), 8 + 16 * m)
             at = np.repeat(slot - shard * per_shard, size) * length + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
             whole.ravel()[at] = ids
-        return pa.table({"shard": pa.array([shard], pa.int64()), "value": pa.array([whole.tobytes()], pa.binary())})
+        parts = [whole[a : a + BLOCK].tobytes() for a in range(0, count, BLOCK)]
+        return pa.table({"shard": pa.array([shard] * len(parts), pa.int64()), "block": pa.array(range(len(parts)), pa.int32()), "value": pa.array(parts, pa.binary())})
 
-    dealt = tokens.select("task", "before", "many", "ids").mapInArrow(deal, "shard long, body binary").groupBy("shard").applyInArrow(gather, "shard long, value binary")
-    dealt.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    dealt = tokens.select("task", "before", "many", "ids").mapInArrow(deal, "shard long, body binary").groupBy("shard").applyInArrow(gather, "shard long, block int, value binary")
+    dealt.sortWithinPartitions("shard", "block").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
     def listed(batches):
         for batch in batches:
@@ -143,39 +147,48 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
     return Layout(path, n, length, per_shard, index)
 
 
-def sequences(spark: SparkSession, layout: Layout, first: int = 0, last: int | None = None) -> DataFrame:
-    """slot, ids (bytes, padding off) as the shards hold them, from slot ``first`` to before ``last``: a resumed read opens only its shards."""
-    last = layout.sequences if last is None else last
+def read_slots(spark: SparkSession, layout: Layout, first: int, last: int, schema: str, emit) -> DataFrame:
+    """What emit(slots, padded ids, sizes) makes of the slots from first to before last, block by block; only their shards are opened."""
     per, length = layout.per_shard, layout.length
-    schema = "slot long, ids binary"
     if first >= last:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(layout.path)
     files = files.select(F.col("shard").cast("long").alias("shard"), "content").where((F.col("shard") >= first // per) & (F.col("shard") <= (last - 1) // per))
 
     def read(batches):
+        step = 2 * length * BLOCK + 1  # a line feed ends each block
         for batch in batches:
             for shard, body in zip(batch["shard"].to_pylist(), batch["content"], strict=True):
-                table = np.frombuffer(body.as_buffer(), "<u2", (len(body.as_buffer()) - 1) // 2).reshape(-1, length)  # a line feed ends the file
-                size = (table != PAD).sum(1)
-                keep = [i for i in range(len(table)) if first <= shard * per + i < last]
-                yield pa.RecordBatch.from_arrays([pa.array([shard * per + i for i in keep], pa.int64()), pa.array([table[i, : size[i]].tobytes() for i in keep], pa.binary())], names=["slot", "ids"])
+                raw = np.frombuffer(body.as_buffer(), np.uint8)
+                for a in range(0, len(raw), step):
+                    table = raw[a : min(a + step, len(raw)) - 1].view("<u2").reshape(-1, length)
+                    slots = shard * per + a // step * BLOCK + np.arange(len(table))
+                    mine = (slots >= first) & (slots < last)
+                    yield emit(slots[mine], table[mine], (table[mine] != PAD).sum(1))
 
     return files.mapInArrow(read, schema)
 
 
+def sequences(spark: SparkSession, layout: Layout, first: int = 0, last: int | None = None) -> DataFrame:
+    """slot, ids (bytes, padding off) as the shards hold them; a read resumes at any slot."""
+
+    def emit(slots, table, size):
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([x[:n].tobytes() for x, n in zip(table, size, strict=True)], pa.binary())], names=["slot", "ids"])
+
+    return read_slots(spark, layout, first, layout.sequences if last is None else last, "slot long, ids binary", emit)
+
+
 def digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, piece, slot, shard, offset, length, ids_crc32 (of the 16-bit ids) of every sequence as its shard holds it."""
     layout = materialise(docs, **options)
 
-    def digest(batches):
-        for batch in batches:
-            ids = batch["ids"].to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["slot"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["_slot", "length", "ids_crc32"])
+    def emit(slots, table, size):
+        sums = [zlib.crc32(x[:n].tobytes()) for x, n in zip(table, size, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(size.astype(np.int64)), pa.array(sums, pa.int64())], names=["_slot", "length", "ids_crc32"])
 
     if not layout.sequences:
         return layout.index.select("doc_id", "piece", "slot", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
-    read = sequences(docs.sparkSession, layout).mapInArrow(digest, "_slot long, length long, ids_crc32 long")
+    read = read_slots(docs.sparkSession, layout, 0, layout.sequences, "_slot long, length long, ids_crc32 long", emit)
     shard = F.floor(F.col("slot") / layout.per_shard).cast("long")
-    at = (F.pmod("slot", F.lit(layout.per_shard)) * layout.stride).cast("long")
+    at = layout.offset(F.col("slot"))
     return layout.index.join(read, F.col("slot") == F.col("_slot")).select("doc_id", "piece", "slot", shard.alias("shard"), at.alias("offset"), "length", "ids_crc32")
