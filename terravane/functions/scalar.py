@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,15 +31,12 @@ def number_of_regions(rows: int, cols: int, size: float) -> int:
 
 
 def geometric_scales(low: float, high: float, levels: int | None = None, decay: float | None = None) -> list[float]:
-    """Scales from high down to low by a constant factor, given or from the number of levels."""
+    """Scales from high down by a constant factor (given, or from the number of levels) while they are not under low."""
     decay = (low / high) ** (1.0 / levels) if levels else decay
     if not decay or not 0 < decay < 1:
         raise ValueError("the decay must lie between 0 and 1")
-    out, x = [], high
-    while x > low and (levels is None or len(out) < levels):
-        out.append(x)
-        x *= decay
-    return [*out, low]
+    many = int(math.floor(math.log(low / high) / math.log(decay) + 1e-9)) + 1
+    return [high * decay**k for k in range(min(many, levels or many))]
 
 
 def percent_or_absolute(text: str, relative: float) -> float:

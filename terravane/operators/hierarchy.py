@@ -29,16 +29,24 @@ def cut_atoms(nodes: DataFrame, node_atoms: DataFrame, scale: float) -> DataFram
     return node_atoms.join(cut(nodes, scale), "node").select(F.col("node").alias("region"), "atom")
 
 
+def _ways(merges: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(scale, atom, node): all nodes that hold an atom; a merged group is (scale, rep), an atom itself is a leaf at scale 0."""
+    name = F.concat_ws(":", F.col("scale").cast("string"), F.col("rep").cast("string"))
+    return merges.select("scale", "atom", name.alias("node")).union(atoms.select(F.lit(0.0), "atom", F.concat(F.lit("atom:"), F.col("atom").cast("string"))))
+
+
 def build(merges: DataFrame, atoms: DataFrame) -> DataFrame:
     """(node, parent, scale) from merges (scale, rep, atom): groups of atoms that became one at a scale.
 
-    A node is (scale, rep); an atom's nodes in order of scale are its way up, so a node's parent is the next one on the way of
-    its atoms. Atoms (atom) are the leaves, at scale 0.
+    An atom's nodes in order of scale are its way up, so a node's parent is the next one on the way of its atoms.
     """
-    name = F.concat_ws(":", F.col("scale").cast("string"), F.col("rep").cast("string"))
-    way = merges.select("scale", "atom", name.alias("node")).union(atoms.select(F.lit(0.0), "atom", F.concat(F.lit("atom:"), F.col("atom").cast("string"))))
     up = F.lead("node").over(Window.partitionBy("atom").orderBy("scale", "node"))
-    return way.withColumn("parent", up).groupBy("node").agg(F.min("parent").alias("parent"), F.first("scale").alias("scale"))
+    return _ways(merges, atoms).withColumn("parent", up).groupBy("node").agg(F.min("parent").alias("parent"), F.first("scale").alias("scale"))
+
+
+def members(merges: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(node, atom) of the same forest."""
+    return _ways(merges, atoms).select("node", "atom")
 
 
 def from_stack(stack: DataFrame, levels: list[float]) -> DataFrame:

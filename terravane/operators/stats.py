@@ -103,7 +103,8 @@ def gabor(pixels: DataFrame, pixel_region: DataFrame, octaves: int = 2, bands: i
                     out.append((pdf["region"].iloc[0], octave, d, band, float(energy.sum() / max(1, ok.sum() if normalised else 1))))
         return pd.DataFrame(out, columns=["region", "octave", "direction", "band", "energy"])
 
-    return pixels.join(pixel_region, ["r", "c"]).select("region", "r", "c", "band", "v").groupBy("region").applyInPandas(run, "region long, octave int, direction int, band int, energy double")
+    kind = pixel_region.schema["region"].dataType.simpleString()
+    return pixels.join(pixel_region, ["r", "c"]).select("region", "r", "c", "band", "v").groupBy("region").applyInPandas(run, f"region {kind}, octave int, direction int, band int, energy double")
 
 
 def arg_extreme(values: DataFrame, by: list[str], index: str, value: str, largest: bool) -> DataFrame:

@@ -30,12 +30,34 @@ class GraphParams:
     steps: int | None = None
 
 
-def hierarchical_superpixels(pixels: DataFrame, rows: int, cols: int, base: int, highest: float, params: SlicParams = SlicParams()) -> tuple[DataFrame, DataFrame]:
-    """(pixel_region, nodes) of pixels (r, c, v array): superpixels of about base x base, merged up to tiles of ``highest``."""
-    atoms = settle(slic.slic(pixels, rows, cols, base, params.m_base, params.most_rounds, params.least_size))
+def hierarchical_superpixels(pixels: DataFrame, rows: int, cols: int, base: int, highest: float, params: SlicParams = SlicParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pixel_region, nodes, node_atoms) of pixels (r, c, v array): superpixels of about base x base, merged up to tiles of ``highest``."""
+    parts = settle(slic.slic(pixels, rows, cols, base, params.m_base, params.most_rounds, params.least_size))
     flat = pixels.select("r", "c", F.posexplode("v").alias("band", "v"))
-    merges = merge.multiscale(flat, atoms, rows, cols, highest, params.m_scale, params.sigma, params.least_count)
-    return atoms, hierarchy.build(settle(merges), atoms.select(F.col("region").alias("atom")).distinct())
+    merges = settle(merge.multiscale(flat, parts, rows, cols, highest, params.m_scale, params.sigma, params.least_count))
+    atoms = parts.select(F.col("region").alias("atom")).distinct()
+    return parts, settle(hierarchy.build(merges, atoms)), settle(hierarchy.members(merges, atoms))
+
+
+def descriptors(pixels: DataFrame, pixel_region: DataFrame, space: str = "histogram_moments", **options) -> DataFrame:
+    """(i, f) of regions over pixels (r, c, band, v): 'histogram_moments', 'gabor_filters' or 'quadtree'; missing entries are 0."""
+    if space == "histogram_moments":
+        values = pixels.join(pixel_region, ["r", "c"]).select("region", "band", "v")
+        cells = stats.moments(values, options.get("count", 5)).select("region", F.struct("moment", "band").alias("at"), "value")
+    elif space == "quadtree":
+        levels = options.get("levels", 3)
+        names = [""]
+        for _ in range(levels - 1):
+            names += [n + q for n in names for q in "1234" if len(n + q) <= levels - 1 and n + q not in names]
+        found = stats.quadtree(pixels, pixel_region, levels)
+        every = found.select("band").distinct().withColumn("node", F.explode(F.array(*[F.lit(n) for n in dict.fromkeys(names)])))
+        grid = found.select("region").distinct().join(F.broadcast(every))  # nodes of a tree of fixed depth
+        cells = grid.join(found, ["region", "node", "band"], "left").select("region", F.struct("node", "band").alias("at"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    elif space == "gabor_filters":
+        cells = stats.gabor(pixels, pixel_region, **options).select("region", F.struct("octave", "direction", "band").alias("at"), F.col("energy").alias("value"))
+    else:
+        raise ValueError(f"unknown feature space: {space}")
+    return cells.groupBy(F.col("region").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("f"))
 
 
 def similarity(points: DataFrame, params: GraphParams = GraphParams()) -> tuple[DataFrame, DataFrame, int]:

@@ -584,7 +584,7 @@ def slic_two_iterations(spark: SparkSession, d: str) -> DataFrame:
     return slic.assign(pixels, centres, 8, 20).select("r", "c", "k", rounded("score").alias("score"))
 
 
-@query("select k::int as k, round(30 * (2 / 30.0::double) ** (k / 5.0::double), 6) as scale from range(0, 6) t(k)")
+@query("select k::int as k, round(30 * (2 / 30.0::double) ** (k / 5.0::double), 6) as scale from range(0, 5) t(k)")
 def geometric_scales(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(scalar.geometric_scales(2.0, 30.0, levels=5))), "k int, scale double").withColumn("scale", F.round("scale", 6))
 

@@ -137,7 +137,7 @@ def test_scales_and_arguments():
     with pytest.raises(ValueError):
         scalar.percent_or_absolute("five", 1)
     found = scalar.geometric_scales(2.0, 32.0, levels=4)
-    assert found == pytest.approx([32, 16, 8, 4, 2])
+    assert found == pytest.approx([32, 16, 8, 4])
     assert scalar.geometric_scales(1.0, 8.0, decay=0.5) == pytest.approx([8, 4, 2, 1])
 
 
@@ -286,3 +286,47 @@ def test_estimate_steps_and_dimension(spark):
     assert factor > 0 and 0.5 < dimension < 4
     assert graph.estimate_steps(graph.weights(scaled, factor)) >= 1
     assert graph.suggested_steps(100, 2.0) == 20
+
+
+def bitmap(path, image):
+    """Write an array (rows, cols, 3) of red, green, blue as a bitmap file."""
+    rows, cols, _ = image.shape
+    pad = bytes(-3 * cols % 4)
+    body = b"".join(image[r, :, ::-1].astype(np.uint8).tobytes() + pad for r in range(rows - 1, -1, -1))
+    head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little")
+    head += cols.to_bytes(4, "little") + rows.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
+    path.write_bytes(head + body)
+
+
+def test_command_line(spark, tmp_path):
+    from terravane.plans import cli
+
+    image = np.zeros((32, 32, 3), int)
+    image[:, 16:] = 230
+    image += np.random.default_rng(3).integers(0, 8, image.shape)
+    bitmap(tmp_path / "i.bmp", image)
+    out = str(tmp_path / "out")
+    flags = ["--base_scale", "8", "--max_scale", "20", "--SLIC_max_itters", "3", "--min_cluster_size", "8", "--clusters", "2", "--number_of_levels", "2", "--knn", "4", "--do_compression", "--output_features"]
+    assert cli.main([str(tmp_path / "i.bmp"), out, *flags], spark) == 0
+    runs = sinks.read_map(spark, out, "runs")
+    atoms = rle.decode(runs)
+    assert atoms.count() == 32 * 32
+    labels = {(r.scale, r.atom): r.label for r in sinks.read_map(spark, out, "labels").collect()}
+    finest = min(s for s, _ in labels)
+    sides = {}
+    for r in atoms.collect():
+        sides.setdefault(int(r.pos >= 16), []).append(labels[finest, r.value])
+    left, right = (max(set(x), key=x.count) for x in (sides[0], sides[1]))
+    assert left != right and sides[0].count(left) > 450 and sides[1].count(right) > 450
+    assert sinks.read_map(spark, out, "nodes").where("f is null").count() == 0
+    assert {r.name for r in sinks.read_map(spark, out, "meta").collect()} == {"image_shape", "SLIC_time", "total_time"}
+    assert cli.main(["a", "b", "--output_features", "--feature_space", "gabor_filters"], spark) == 4
+
+
+@pytest.mark.parametrize("space,size", [("histogram_moments", 10), ("quadtree", 42), ("gabor_filters", 8)])
+def test_descriptors_have_one_length(spark, space, size):
+    rng = np.random.default_rng(4)
+    px = spark.createDataFrame([(r, c, b, float(rng.random())) for r in range(9) for c in range(9) for b in (0, 1)], "r long, c int, band int, v double")
+    where = px.select("r", "c", F.when(F.col("r") * F.col("c") == 0, F.lit("edge")).otherwise(F.lit("inside")).alias("region")).distinct()
+    got = labelling.descriptors(px, where, space).collect()
+    assert len(got) == 2 and {len(r.f) for r in got} == {size}
