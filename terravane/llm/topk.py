@@ -63,7 +63,7 @@ def gram(rows: DataFrame) -> dict[int, np.ndarray]:
     return total
 
 
-def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 1024, block: int = 4096) -> DataFrame:
+def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 1024, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query with all other rows."""
     got = stash(usable(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null"), scale), "vectors")
     rotations = {d: np.linalg.eigh(g)[1][:, ::-1] for d, g in gram(got).items()}
@@ -80,7 +80,9 @@ def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5,
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / block))
     cands = got.withColumn("level", F.floor(F.col("norm") * cut)).join(step, ["dim", "level"]).groupBy("dim", F.col("_b").alias("cb"), part.alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     spread = cands.join(sizes, "dim").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    pairs = spread.join(queries, ["dim", "qb"]).select("dim", "queries", "rows")
+    many = sum(r.query_blocks * r.blocks for r in sizes.toLocalIterator())  # a row a dimension
+    # Pairs are few and heavy: dealt out evenly, as their keys are too few to spread them.
+    pairs = spread.join(queries, ["dim", "qb"]).select("dim", "queries", "rows").repartition(int(min(10_000, max(1, many))))
 
     def run(batches):
         for batch in batches:
