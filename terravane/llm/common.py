@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,10 +41,17 @@ def sweep(spark: SparkSession) -> None:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    release(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written down: it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def boxed(docs: DataFrame, **named: Column) -> DataFrame:
     """Whole rows as one column ``row`` beside the named ones, so that no name of the table can clash with ours."""
     return docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *[v.alias(k) for k, v in named.items()])

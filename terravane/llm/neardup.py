@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, per_row, prefix_hash, span_hash, stash, words
+from .common import U64, blocks, boxed, mix, per_row, prefix_hash, release, span_hash, stash, unboxed, words
 from .components import components
 
 WIDTH, COORDINATES, BANDS = 5, 128, 32
@@ -201,7 +201,8 @@ def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
     """doc_id, class_id for every row: the least doc_id of those that chains of links at the threshold or equal texts reach."""
     seen = stash(signatures(docs, weights), "signatures")
-    first = seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("node"))
+    # Written down, so that joins with it can split the rows of a text that very many documents hold.
+    first = stash(seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("node")), "texts")
     nodes = stash(seen.where("n_shingles > 0").join(first, "text_hash").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
@@ -218,11 +219,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     more = stash(open_links(placed, nodes, sets, threshold).distinct(), "open-links")
     if not more.isEmpty():
         labels = components(links.union(more))
+    release(docs.sparkSession)
     classes = first.join(labels, "node", "left").select("text_hash", F.coalesce("label", "node").alias("class_id"))
     return seen.select("doc_id", "text_hash").join(classes, "text_hash", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents less all but one (the least doc_id) of each near-duplicate class."""
-    gone = near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    return unboxed(boxed(docs, key=docs["doc_id"]).join(gone, F.col("key") == F.col("gone"), "left_anti"), docs.columns)
