@@ -70,3 +70,9 @@ def roots_of(nodes: DataFrame, keys: DataFrame, depth: int = 64) -> DataFrame:
         hit = way.join(keys.select(F.col("node").alias("_k")), F.col("at") == F.col("_k"), "left_semi").select("node")
         below = hit if below is None else below.union(hit)
     return keys.select("node") if below is None else keys.select("node").join(below.distinct(), "node", "left_anti")
+
+
+def indicator(nodes: DataFrame, node_atoms: DataFrame, pixel_region: DataFrame, scale: float) -> DataFrame:
+    """(r, c, region): every pixel's region at a scale."""
+    atoms = cut_atoms(nodes, node_atoms, scale)
+    return pixel_region.select("r", "c", F.col("region").alias("atom")).join(atoms, "atom").select("r", "c", "region")

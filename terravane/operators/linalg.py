@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,20 @@ def error_term(powered_g: DataFrame, f: DataFrame, g: DataFrame) -> DataFrame:
     """(error): ||D - F G||**2 less ||D||**2, from F (n x r), G (r x n) and D G' (n x r), through r x r products alone."""
     ff, gg = product(transpose(f), f), product(g, transpose(g))
     return inner(ff, gg).withColumnRenamed("total", "a").crossJoin(inner(f, powered_g).withColumnRenamed("total", "b")).select((F.col("a") - 2 * F.col("b")).alias("error"))  # one row each
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """A matrix of (i, f array): one entry a component, zeros left out."""
+    return rows.select("i", F.posexplode("f").alias("j", "v")).where("v <> 0")
+
+
+def from_triples(spark: SparkSession, data, i, j) -> DataFrame:
+    """A matrix of parallel lists; entries at one place add up."""
+    rows = spark.createDataFrame([(int(a), int(b), float(x)) for a, b, x in zip(i, j, data, strict=True)], "i long, j long, v double")
+    return rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def from_compressed(spark: SparkSession, data, indices, starts) -> DataFrame:
+    """A matrix of compressed rows: row i holds entries starts[i] to starts[i + 1]."""
+    i = [row for row, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) for _ in range(a, b)]
+    return from_triples(spark, data, i, indices)

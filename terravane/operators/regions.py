@@ -73,3 +73,13 @@ def from_raw(raw: DataFrame) -> DataFrame:
 def extra(data: DataFrame, name: str) -> DataFrame:
     """One named array of a map column ``extra``; regions without it are left out."""
     return data.select("region", F.try_element_at("extra", F.lit(name)).alias("value")).where("value is not null")
+
+
+def value_at(pixels: DataFrame, r: int, c: int) -> DataFrame:
+    """All bands of one pixel."""
+    return pixels.where((F.col("r") == r) & (F.col("c") == c))
+
+
+def for_raster(pixel_region: DataFrame, raster: DataFrame) -> DataFrame:
+    """The same regions over another raster: its values with the region of each pixel."""
+    return raster.join(pixel_region, ["r", "c"])

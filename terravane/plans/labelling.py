@@ -39,9 +39,12 @@ def hierarchical_superpixels(pixels: DataFrame, rows: int, cols: int, base: int,
     return parts, settle(hierarchy.build(merges, atoms)), settle(hierarchy.members(merges, atoms))
 
 
-def descriptors(pixels: DataFrame, pixel_region: DataFrame, space: str = "histogram_moments", **options) -> DataFrame:
-    """(i, f) of regions over pixels (r, c, band, v): 'histogram_moments', 'gabor_filters' or 'quadtree'; missing entries are 0."""
-    if space == "histogram_moments":
+def descriptors(pixels: DataFrame, pixel_region: DataFrame, space: str | Callable = "histogram_moments", **options) -> DataFrame:
+    """(i, f) of regions over pixels (r, c, band, v): 'histogram_moments', 'gabor_filters' or 'quadtree', missing entries 0;
+    or a function (pixels, pixel_region, **options) to (region, at, value), whose values are put in order of ``at``."""
+    if callable(space):
+        cells = space(pixels, pixel_region, **options)
+    elif space == "histogram_moments":
         values = pixels.join(pixel_region, ["r", "c"]).select("region", "band", "v")
         cells = stats.moments(values, options.get("count", 5)).select("region", F.struct("moment", "band").alias("at"), "value")
     elif space == "quadtree":

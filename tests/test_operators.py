@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terravane.functions import colour, scalar
 from terravane.operators import cluster, filters, graph, hierarchy, linalg, merge, neighbours, nmf, order, regions, rle, slic, stats
 from terravane.plans import labelling
-from terravane.sources import rasters, sinks
+from terravane.sources import documents, rasters, sinks
 
 
 def grid(spark, rows):
@@ -330,3 +330,35 @@ def test_descriptors_have_one_length(spark, space, size):
     where = px.select("r", "c", F.when(F.col("r") * F.col("c") == 0, F.lit("edge")).otherwise(F.lit("inside")).alias("region")).distinct()
     got = labelling.descriptors(px, where, space).collect()
     assert len(got) == 2 and {len(r.f) for r in got} == {size}
+
+
+def test_nested_documents(spark):
+    tree = [{"scale": 9.0, "list_of_atomic_superpixels": [0, 1, 2], "area": 3, "children": [{"scale": 1.0, "list_of_atomic_superpixels": 0}, {"scale": 1.0, "list_of_atomic_superpixels": [1, 2], "mean": [0.5, 1]}]}]
+    nodes, atoms, extra = documents.tree_tables(spark, tree)
+    assert {(r.node, r.parent, r.scale) for r in nodes.collect()} == {("0", None, 9.0), ("0/0", "0", 1.0), ("0/1", "0", 1.0)}
+    assert {(r.node, r.name, tuple(r.value)) for r in extra.collect()} == {("0", "area", (3.0,)), ("0/1", "mean", (0.5, 1.0))}
+    back = documents.nested_tree(nodes, atoms)
+    assert back[0]["children"][1]["list_of_atomic_superpixels"] == [1, 2] and len(back) == 1
+    px = grid(spark, [[0, 1, 2]])
+    assert {r.c: r.region for r in hierarchy.indicator(nodes, atoms, px, 5.0).collect()} == {0: "0/0", 1: "0/1", 2: "0/1"}
+    assert {tuple(r) for r in documents.stack_table(spark, [{"scale": 2, "label_map": [{"list_of_atomic_superpixels": [0, 1]}, {"list_of_atomic_superpixels": 2}]}]).collect()} == {(2.0, 0, 0), (2.0, 0, 1), (2.0, 1, 2)}
+    for wrong, error in (({"scale": 1.0}, KeyError), ({"scale": "1", "list_of_atomic_superpixels": [1]}, TypeError), ({"list_of_atomic_superpixels": ["a"]}, TypeError)):
+        with pytest.raises(error):
+            documents.tree_tables(spark, [wrong])
+
+
+def test_matrix_forms(spark):
+    dense = [[0.0, 2.0], [3.0, 0.0]]
+    want = {(0, 1, 2.0), (1, 0, 3.0)}
+    rows = linalg.from_rows(spark.createDataFrame(list(enumerate(dense)), "i long, f array<double>"))
+    assert {tuple(r) for r in rows.collect()} == want
+    assert {tuple(r) for r in linalg.from_compressed(spark, [2.0, 3.0], [1, 0], [0, 1, 2]).collect()} == want
+    assert {tuple(r) for r in linalg.from_triples(spark, [1.0, 1.0, 3.0], [0, 0, 1], [1, 1, 0]).collect()} == want
+
+
+def test_own_feature_space_and_other_rasters(spark):
+    px = spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 0, 5.0)], "r long, c int, band int, v double")
+    where = grid(spark, [[4, 4]])
+    most = lambda pixels, pixel_region: regions.for_raster(pixel_region, pixels).groupBy("region").agg(F.max("v").alias("value")).select("region", F.lit(0).alias("at"), "value")
+    assert [(r.i, r.f) for r in labelling.descriptors(px, where, most).collect()] == [(4, [5.0])]
+    assert [r.v for r in regions.value_at(px, 0, 1).collect()] == [5.0]
