@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import U64, blocks, mix, prefix_hash, span_hash, stash, text_bytes
+from .common import U64, blocks, mix, prefix_hash, release, span_hash, stash, text_bytes
 
 LENGTH, GRAM = 100, 36
 PLACE_BITS = 22
 
 
-def units(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, most: int = 1 << 20):
+def units(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, most: int = 1 << 19):
     """Yield (row, bytes before, bytes, offsets) pieces of a block: the block whole, or slices of one long row that overlap."""
     if len(offs) > 2 or offs[-1] <= 2 * most:
         yield 0, 0, data, offs
@@ -183,13 +183,13 @@ def rank_segments(source: DataFrame, buckets: int, length: int, gram: int, hot:
         parts, held = [], 0
         for batch in batches:
             ids, versions = np.asarray(batch["doc_id"]), np.asarray(batch["version"])
-            for a, _, data, offs in blocks(batch["b"]):
+            for a, _, data, offs in blocks(batch["b"], 1 << 19):
                 for _, skip, piece, cut in units(data, offs, length):
                     s = sampled(piece, cut, length, gram)
                     low = s["low"] - cut[s["row"]]
                     parts.append({"doc": ids[a + s["row"]], "version": versions[a + s["row"]], "name": s["name"], "long_name": s["long_name"], "low": low + skip, "span": (s["high"] - s["low"]).astype(np.uint16)})
                     held += len(low)
-            if held > 1_000_000:
+            if held > 400_000:
                 yield settle(parts)
                 parts, held = [], 0
         if held:
@@ -248,7 +248,7 @@ def rank_windows(source: DataFrame, open_: DataFrame, buckets: int, length: int,
         for batch in batches:
             ids, versions = np.asarray(batch["doc_id"]), np.asarray(batch["version"])
             marks, ends = np.asarray(batch["items"].flatten()), np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(batch["items"])))])
-            for a, b, data, offs in blocks(batch["b"]):
+            for a, b, data, offs in blocks(batch["b"], 1 << 19):
                 for _, skip, piece, cut in units(data, offs, length):
                     mine = marks[ends[a] : ends[b]]
                     owner = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
@@ -265,7 +265,7 @@ def rank_windows(source: DataFrame, open_: DataFrame, buckets: int, length: int,
                     row = np.repeat(s["row"][seg], size)
                     parts.append({"doc": ids[a + row], "version": versions[a + row], "name": np.repeat(s["name"][seg], size), "full": names(prefix_hash(piece), low), "low": low - cut[row] + skip, "hot": np.repeat(is_hot, size)})
                     held += len(low)
-                if held > 1_000_000:
+                if held > 400_000:
                     yield settle(parts)
                     parts, held = [], 0
         if held:
@@ -298,7 +298,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     buckets = max(1, -(-total // (32 << 20)))
     ranked = stash(rank_segments(source, buckets, length, gram, hot), "suffix-segments")
     kind = F.col("item").bitwiseAND(3)
-    more = stash(rank_windows(source, ranked.where(kind.isin(OPEN, OPEN_HOT)), buckets, length, gram), "suffix-windows")
+    more = rank_windows(source, ranked.where(kind.isin(OPEN, OPEN_HOT)), buckets, length, gram)
+    release(docs.sparkSession)
     return per_document(texts(docs, whole), ranked.where(kind == REMOVED).union(more), "left")
 
 
