@@ -15,12 +15,12 @@ Other columns do not matter. A-Z are lower-cased; 0xFF, no byte of UTF-8, stands
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -348,11 +348,11 @@ def scored(docs: DataFrame, of: int = 5, held: int = 1) -> DataFrame:
     names = ["part", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bucket", "body"]
 
     def run(batches):
-        known = shared.value
+        known, part = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             out_held = np.asarray(batch["held_out"].cast(pa.uint8()))
             for a, b, data, offs in blocks(batch["b"], 2 << 20):
-                n, part = b - a, uuid.uuid4().int >> 66
+                n, part = b - a, part + 1  # a number of its own for every run of texts, the same if the task runs again
                 score = np.concatenate([known.trie.score(d, o) for _, _, d, o in slices(data, offs)])
                 h, row = word_hashes(data, offs)
                 at = np.minimum(np.searchsorted(known.words, h), max(0, len(known.words) - 1))
