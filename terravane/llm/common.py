@@ -40,8 +40,13 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
+def stash(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation.
+
+    gather: deal the rows to parts of the session's advisory size first, for narrow results of wide scans, which else leave
+    a tiny file for every task.
+    """
+    df = df.hint("rebalance") if gather else df
     path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     release(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     into shards of about ``shard_words`` words, ``max_shards`` at most, so a hot source is spread over many tasks.
     """
     key = id_hash(seed, "doc_id")
-    sized = stash(docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key")), "mix-sizes")
+    sized = stash(docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key")), "mix-sizes", gather=True)
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = Window.partitionBy()
     block = F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole) / 64))).cast("long")

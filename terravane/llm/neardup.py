@@ -200,7 +200,7 @@ def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
     """doc_id, class_id for every row: the least doc_id of those that chains of links at the threshold or equal texts reach."""
-    seen = stash(signatures(docs, weights), "signatures")
+    seen = stash(signatures(docs, weights), "signatures", gather=True)
     # Written down, so that joins with it can split the rows of a text that very many documents hold.
     first = stash(seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("node")), "texts")
     nodes = stash(seen.where("n_shingles > 0").join(first, "text_hash").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]), "nodes")

@@ -141,4 +141,4 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return place(stash(pieces(docs, capacity, tokenizer), "pieces"), capacity)
+    return place(stash(pieces(docs, capacity, tokenizer), "pieces", gather=True), capacity)

@@ -175,7 +175,7 @@ def js_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def judge(docs: DataFrame, class_limit: float = 0.16, common_limit: float = 0.22, noise: float = 1.0, least_words: int = 30, least_reference: int = 1000) -> DataFrame:
     """doc_id, the base counts, base_failed, the two distances, kept."""
-    measured = stash(measure(docs), "rules")
+    measured = stash(measure(docs), "rules", gather=True)
     refs = references(measured).withColumnRenamed("lang", "_lang")
     both = measured.join(refs, F.col("lang").eqNullSafe(F.col("_lang")))
     kinds = {f.name: f.dataType.simpleString() for f in measured.schema}

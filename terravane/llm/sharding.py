@@ -24,7 +24,7 @@ def shard(docs: DataFrame, limit: int = 64 << 20, seed: str = "shard") -> DataFr
     prefix within the limit; only documents of cells that are still too large go on to the next round.
     """
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    live = stash(docs.select("doc_id", size.alias("bytes"), id_hash(seed, "doc_id").alias("_h")), "shard-sizes")
+    live = stash(docs.select("doc_id", size.alias("bytes"), id_hash(seed, "doc_id").alias("_h")), "shard-sizes", gather=True)
     total = live.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4)
     done = []
