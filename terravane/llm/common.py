@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ def stash(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash_apart(df: DataFrame, label: str, flag: str) -> tuple[DataFrame, DataFrame, Callable]:
+    """As stash, for rows where the boolean column holds and where it does not (without it); the last, called, drops the former."""
+    spark, path = df.sparkSession, f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    release(spark)
+    kept = df.drop(flag).schema
+    df.write.option("compression", "zstd").partitionBy(flag).parquet(path)
+    folder = lambda v: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{flag}={v}")
+    files = folder("true").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    both = [spark.read.schema(kept).parquet(f"{path}/{flag}={v}") if files.exists(folder(v)) else spark.createDataFrame([], kept) for v in ("true", "false")]
+    return *both, lambda: files.delete(folder("true"), True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are written down: it does so when the driver's JVM collects its garbage."""
     gc.collect()

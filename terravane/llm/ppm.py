@@ -1,11 +1,15 @@
 """Language-model scoring by prediction by partial matching over a byte-context trie, and a unigram base beside it.
 
-Training counts every byte after its six-byte context in all training texts; lower orders follow by summing. The trie keeps
-all contexts of up to two bytes and those longer ones that hold a fixed share of the corpus, so its size is bounded by the
-inverse of that share. A symbol's probability comes from the longest kept context that has seen it: each context that has not
-gives up its escape probability (half its distinct symbols over its count), and symbols a longer context has seen are
-excluded below it; what none has seen shares the rest evenly. As the model is fixed after training, these probabilities are
-laid out in a table by context and symbol, and a text costs a few look-ups a byte. ``adaptive`` learns from the text itself.
+Training counts every byte after its six-byte context in all training texts; lower orders follow by summing. All contexts of
+up to two bytes count, and all longer ones that occur at least LEAST times, whatever the corpus: what is kept grows with it. A
+symbol's probability comes from the longest such context that has seen it: each context that has not gives up its escape
+probability (half its distinct symbols over its count), and symbols a longer context has seen are excluded below it; what none
+has seen shares the rest evenly. ``adaptive`` learns from the text itself.
+
+No task holds the model. Texts are cut into parts of PART bytes; each part sends its distinct contexts and symbols, held-out texts
+too, to buckets by the last three bytes of the context. A bucket has all counts of its contexts of three bytes or more, is
+sent those of the shorter ones (a few per possible triple of bytes), and returns a cost for each context and symbol to each
+part that asked; the part then adds up its texts.
 
 Edge cases: null and empty texts are their end alone; texts are scored whole; a null doc_id is a training document; with no
 training text every symbol has probability 1/256; repeated rows count and are scored one by one; an empty table gives no rows.
@@ -24,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, prefix_hash, span_hash, stash, text_bytes, words
+from .common import U64, blocks, mix, prefix_hash, span_hash, stash, stash_apart, text_bytes, words
 from .quality import remainder
 from .rules import TO_LOWER
 
 ORDER, END = 6, 0xFF
-SHARE = 4e-6  # of all training bytes, for a context of three bytes or more to be kept
+SHARE = 0.0  # of all training bytes that a context of three bytes or more needs: none, as the model would stop growing
+LEAST = 2  # occurrences that it needs
+PART = 8 << 20  # bytes of texts that ask for costs together
 FREQUENT = 1e-6  # of all training bytes, for a word's count to be sent to every task
 SCALE = 4096.0
 
@@ -76,6 +82,26 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[head], np.add.reduceat(count, head) if len(head) else count
 
 
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of contexts and symbols, by the last three bytes of the context."""
+    return ((mix((key >> U64(8)) & U64(0xFFFFFF)) >> U64(16)) % U64(buckets)).astype(np.int64)
+
+
+def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> U64(16)) % U64(buckets)).astype(np.int64)
+
+
+def by_bucket(to: np.ndarray) -> np.ndarray:
+    """Places by bucket, in order within each."""
+    return np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
+
+
+def known_at(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted known ones, and where."""
+    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+    return (known[at] == key if len(known) else np.zeros(len(key), bool)), at
+
+
 def tallied(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.sort(values)
     head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
@@ -99,19 +125,17 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hash(prefix_hash(TO_LOWER[data]), start, end), row
 
 
-def count_corpus(training: DataFrame, buckets: int, context_least: float, word_least: float) -> DataFrame:
-    """(kind, order, body, n, d): packed counts of contexts ("c"), of frequent words ("w"), and sums of words and words' kinds.
+def count_corpus(training: DataFrame, buckets: int, word_least: float) -> DataFrame:
+    """(kind, body, n, d): packed counts of two-byte contexts ("c"), of frequent words ("w"), and sums of words and words' kinds.
 
-    Tasks count their own texts first and send each bucket one packed value; a context's bucket depends on its last three
-    bytes, so counts of three-byte contexts are whole there; shorter ones are added up afterwards.
+    Tasks count their own texts first and send each bucket one packed value.
     """
 
     def out(held: dict):
         rows = []
         for kind, (keys, counts) in held.items():
             key, count = merged(keys, counts)
-            to = mix((key >> U64(8)) & U64(0xFFFFFF)) if kind == "c" else key
-            to = ((to >> U64(16)) % U64(buckets)).astype(np.int64)
+            to = bucket_of(key, buckets) if kind == "c" else word_bucket(key, buckets)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
@@ -125,7 +149,7 @@ def count_corpus(training: DataFrame, buckets: int, context_least: float, word_l
         size = {k: 0 for k in "cw"}
         for batch in batches:
             for _, _, data, offs in blocks(batch["b"]):
-                for kind, values in (("c", context_symbols(data, offs)), ("w", word_hashes(data, offs)[0])):
+                for kind, values in (("c", context_symbols(data, offs) & U64(0xFFFFFF)), ("w", word_hashes(data, offs)[0])):
                     key, count = tallied(values)
                     held[kind][0].append(key)
                     held[kind][1].append(count)
@@ -147,22 +171,65 @@ def count_corpus(training: DataFrame, buckets: int, context_least: float, word_l
         rows = []
         if kind == "w":
             pick = count >= word_least
-            rows.append(("w", 0, shrunk(keys[pick], count[pick]), int(count.sum()), len(keys)))
+            rows.append(("w", shrunk(keys[pick], count[pick]), int(count.sum()), len(keys)))
         else:
-            for order in range(ORDER, 1, -1):
-                keys, count = merged([keys & U64((1 << 8 * (order + 1)) - 1)], [count])
-                context = keys >> U64(8)
-                head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                total = np.repeat(np.add.reduceat(count, head), np.diff(np.append(head, len(keys))))
-                pick = total >= context_least if order > 2 else np.ones(len(keys), bool)
-                if pick.any():
-                    rows.append(("c", order, shrunk(keys[pick], count[pick]), 0, 0))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "order", "body", "n", "d"])
+            rows.append(("c", shrunk(keys, count), 0, 0))
+        cols = list(zip(*rows, strict=True))
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "body", "n", "d"])
 
     sent = training.mapInArrow(run, "kind string, bucket long, body binary")
-    return sent.groupBy("kind", "bucket").applyInArrow(add, "kind string, order int, body binary, n long, d long")
+    return sent.groupBy("kind", "bucket").applyInArrow(add, "kind string, body binary, n long, d long")
+
+
+def ask(rows: DataFrame, fine: int, buckets: int, common) -> DataFrame:
+    """(part, bucket, body, asks): the texts of each part (bucket -1), and what it asks each bucket, with its training counts.
+
+    Buckets below fine are of contexts and symbols, those from fine on of words that are not common.
+    """
+    names = ["part", "bucket", "body", "asks"]
+
+    def out(part: int, texts: list, asks: list[tuple[list, list]]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, texts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for batch in texts:
+                writer.write_batch(batch)
+        bucket, body = [-1], [sink.getvalue().to_pybytes()]
+        for which, first, n in ((0, 0, fine), (1, fine, buckets)):
+            key, count = merged(*asks[which])
+            to = word_bucket(key, n) if which else bucket_of(key, n)
+            order = by_bucket(to)
+            ends = np.searchsorted(to[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                pick = order[ends[k] : ends[k + 1]]
+                bucket.append(first + k)
+                body.append(shrunk(np.diff(key[pick], prepend=U64(0)), count[pick].astype(np.uint32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(body), part)), pa.array(bucket, pa.int64()), pa.array(body, pa.binary()), pa.array([b >= 0 for b in bucket])], names=names)
+
+    def run(batches):
+        known, part = common.value, TaskContext.get().partitionId() << 32
+        texts, asks, size = [], [([], []), ([], [])], 0
+        for batch in batches:
+            skip = np.asarray(batch["held_out"].cast(pa.uint8()))
+            for a, b, data, offs in blocks(batch["b"]):
+                found = np.sort((context_symbols(data, offs) << U64(1)) | np.repeat(skip[a:b].astype(np.uint64), np.diff(offs) + 1))
+                key = found >> U64(1)
+                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                h, row = word_hashes(data, offs)
+                rare = ~known_at(known, h)[0]
+                h, trains = h[rare], 1 - skip[a:b][row[rare]].astype(np.int64)
+                for into, k, c in ((asks[0], key[head], np.add.reduceat(1 - (found & U64(1)).astype(np.int64), head)), (asks[1], *merged([h], [trains]))):
+                    into[0].append(k)
+                    into[1].append(c)
+                texts.append(batch.slice(a, b - a))
+                size += len(data)
+                if size >= PART:
+                    yield out(part, texts, asks)
+                    part, texts, asks, size = part + 1, [], [([], []), ([], [])], 0
+        if texts:
+            yield out(part, texts, asks)
+
+    return rows.mapInArrow(run, "part long, bucket long, body binary, asks boolean")
 
 
 # ---- the model ------------------------------------------------------------------------------------------------------
@@ -170,7 +237,7 @@ def count_corpus(training: DataFrame, buckets: int, context_least: float, word_l
 
 @dataclass
 class Trie:
-    """Look-up form: classes of bytes, rows of three-byte contexts, first row of each order, children of rows, costs of symbols."""
+    """All costs of a small model: classes of bytes, rows of three-byte contexts, first row of each order, children of rows, costs of symbols."""
 
     classes: np.ndarray
     width: int
@@ -179,20 +246,6 @@ class Trie:
     children: np.ndarray
     costs: np.ndarray
 
-    def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        x, start = laid_out(data, offs)
-        c = self.classes[x].astype(np.int64)
-        w = self.width
-        back = lambda j: c[ORDER - j : len(c) - j]  # noqa: E731  the j-th byte before each place
-        row = self.nodes[(back(3) * w + back(2)) * w + back(1)].astype(np.int64)
-        for j in range(4, ORDER + 1):  # a row of order j - 1 may have a child for the byte before it; shorter ones are final
-            deep = np.flatnonzero(row >= self.base[j - 1])
-            row[deep] = self.children[(row[deep] - self.base[3]) * w + back(j)[deep]]
-        cost = np.concatenate([[0], np.cumsum(self.costs[row * w + c[ORDER:]], dtype=np.int64)])
-        first = start - ORDER
-        return -(cost[first + np.diff(offs) + 1] - cost[first]) / SCALE
-
 
 def levels(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[dict]:
     """For each order its contexts in order, and where each one's symbols and counts are; lower orders are sums of order 2."""
@@ -274,6 +327,78 @@ def build(counts: dict[int, tuple[np.ndarray, np.ndarray]], chunk: int = 1024) -
     return Trie(classes, width, nodes, base, children, costs.ravel())
 
 
+def priced(key: np.ndarray, count: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Costs (-log10 of the probability, times SCALE) of sorted contexts and symbols, whose training counts may be 0.
+
+    They are all that any part holds of their three-byte contexts; low has all two-byte contexts of the corpus. The symbols a
+    context has seen are among those of its shorter ones, so what is excluded from a context is what the next longer one has seen.
+    """
+    tree, down = [None] * (ORDER + 1), [None] * (ORDER + 1)
+    for order in range(ORDER, -1, -1):
+        if order < ORDER:
+            short = tree[order + 1]["key"] & U64((1 << 8 * (order + 1)) - 1)
+            if order == 2:
+                key, count = merged([low[0], short], [low[1], np.zeros(len(short), np.int64)])
+            else:
+                key, count = merged([short], [count])
+            down[order + 1] = np.searchsorted(key, short)
+        context = key >> U64(8)
+        first = np.concatenate([[True], context[1:] != context[:-1]])
+        head = np.flatnonzero(first)
+        tree[order] = {"key": key, "count": count, "head": head, "of": np.cumsum(first) - 1, "n": np.add.reduceat(count, head), "kinds": np.add.reduceat((count > 0).astype(np.int64), head)}
+    log = lambda x: np.log10(np.maximum(x, 0.5))  # noqa: E731  0.5: of what is not used
+    below = np.full(len(tree[0]["key"]), -log(np.maximum(1, 256 - tree[0]["kinds"][0])))
+    whole = np.full(len(below), -math.log10(256))
+    for order in range(ORDER + 1):
+        t = tree[order]
+        if order:
+            at, up = down[order], tree[order - 1]
+            over = up["of"][at[t["head"]]]
+            n = up["n"][over] - np.add.reduceat(np.where(t["count"] > 0, up["count"][at], 0), t["head"])
+            escape = np.where(n > 0, log(up["kinds"][over] - t["kinds"]) - log(2 * n), 0.0)
+            seen = up["count"][at]
+            below = np.where(seen > 0, log(2 * seen - 1) - log(2 * n)[t["of"]], escape[t["of"]] + below[at])
+            whole = whole[at]
+        twice = log(2 * t["n"])
+        own = np.where(t["count"] > 0, log(2 * t["count"] - 1) - twice[t["of"]], (log(t["kinds"]) - twice)[t["of"]] + below)
+        whole = np.where((t["n"] >= (LEAST if order > 2 else 1))[t["of"]], own, whole)
+    return np.rint(-whole * SCALE).astype(np.uint32)
+
+
+def answer(asked: DataFrame, fine: int, low) -> DataFrame:
+    """(part, bucket, body): costs of contexts and symbols, or training counts of words, in the order in which each part has asked."""
+
+    def run(bucket, table):
+        parts = [grown(x, np.uint64, np.uint32) for x in table["body"].to_pylist()]
+        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
+        key, count = merged(keys, [c.astype(np.int64) for _, c in parts])
+        value = priced(key, count, low.value) if bucket < fine else count
+        return pa.table({"part": table["part"], "bucket": table["bucket"], "body": pa.array([shrunk(value[np.searchsorted(key, k)]) for k in keys], pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(lambda k, t: run(k[0].as_py(), t), "part long, bucket long, body binary")
+
+
+def added(texts: list[pa.RecordBatch], costs: list[np.ndarray], fine: int) -> np.ndarray:
+    """log10 probability of each text of a part and its end, from the costs by bucket."""
+    runs = []
+    for batch in texts:
+        for _, _, data, offs in blocks(batch["b"]):
+            key = context_symbols(data, offs)
+            order = np.argsort(key)
+            key = key[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            runs.append((key[head], np.diff(np.append(head, len(key))), order.astype(np.int32), offs[:-1] + np.arange(len(offs) - 1)))
+    known = merged([r[0] for r in runs], [r[1] for r in runs])[0]
+    cost = np.empty(len(known), np.int64)
+    cost[by_bucket(bucket_of(known, fine))] = np.concatenate(costs)
+    out = []
+    for key, times, order, start in runs:
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(cost[np.searchsorted(known, key)], times)
+        out.append(np.add.reduceat(each, start))
+    return -np.concatenate(out) / SCALE
+
+
 def adaptive(text: bytes, order: int = ORDER) -> float:
     """log10 probability of one lower-cased text and its end under a trie that learns only from what it has read of it."""
     seen: dict[bytes, dict[int, int]] = {}
@@ -305,114 +430,76 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
 
 @dataclass
 class Corpus:
-    """What training has learned: the trie, the counts of frequent words, and the sums N (tokens), V (distinct), ends."""
+    """What every task is sent: counts of two-byte contexts and of frequent words, and the sums N (tokens), V (distinct), ends."""
 
-    trie: Trie
+    low: tuple[np.ndarray, np.ndarray]
     words: np.ndarray
     counts: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
+    @property
+    def trie(self) -> Trie:
+        """The contexts of up to two bytes, laid out."""
+        return build({2: self.low})
+
 
 def learn(rows: DataFrame) -> tuple[Corpus, int]:
     """Train on the rows (b, held_out) that are not held out; also returns the number of buckets that suits the table."""
     size = rows.groupBy("held_out").agg(F.sum(F.octet_length("b")).alias("n"), F.count("*").alias("d")).collect()
     total, train, ends = sum(r.n for r in size), sum(r.n for r in size if not r.held_out), sum(r.d for r in size if not r.held_out)
     buckets = max(1, -(-total // (64 << 20)))
-    found = count_corpus(rows.where("not held_out").select("b"), buckets, max(2.0, SHARE * train), max(2.0, FREQUENT * train))
-    counts: dict[int, tuple[list, list]] = {}
-    common, n, v = ([], []), 0, 0
-    for r in found.toLocalIterator():  # bounded by 1 / SHARE contexts an order, all of two bytes, and 1 / FREQUENT words
-        key, count = grown(bytes(r.body), np.uint64, np.int64)
-        into = counts.setdefault(r.order, ([], [])) if r.kind == "c" else common
-        into[0].append(key)
-        into[1].append(count)
+    found = count_corpus(rows.where("not held_out").select("b"), buckets, max(2.0, FREQUENT * train))
+    held: dict[str, tuple[list, list]] = {"c": ([], []), "w": ([], [])}
+    n, v = 0, 0
+    for r in found.toLocalIterator():  # bounded by all triples of bytes and 1 / FREQUENT words
+        for into, x in zip(held[r.kind], grown(bytes(r.body), np.uint64, np.int64), strict=True):
+            into.append(x)
         n, v = n + r.n, v + r.d
-    both = merged(*common) if common[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Corpus(build({o: merged(*c) for o, c in counts.items()}), *both, n + ends, v + (ends > 0), ends), buckets
+    low, common = (merged(*h) if h[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for h in held.values())
+    return Corpus(low, *common, n + ends, v + (ends > 0), ends), buckets
 
 
 def scored(docs: DataFrame, of: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Tasks score the trie and frequent words at once; rarer words go, by word, to buckets that count them over the training
-    texts and send each run of texts its sums, packed. No word there has more than a millionth of the corpus, so no bucket is hot.
+    Parts of texts ask buckets for the costs of their contexts and the counts of their rarer words, and add up what they are told.
+    No word there has more than a millionth of the corpus, so no bucket is hot.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(remainder(of) == held, F.lit(False)).alias("held_out"), text_bytes().alias("b"))
     corpus, buckets = learn(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    fine, send = 4 * buckets, docs.sparkSession.sparkContext.broadcast
+    common, counts, low = send(corpus.words), send(corpus.counts), send(corpus.low)
     floor = math.log10(corpus.tokens + 0.5 * (corpus.distinct + 1))
-    n_words, end_part, end_known = corpus.tokens, math.log10(corpus.ends + 0.5) - floor, int(corpus.ends > 0)
-    names = ["part", "i", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bucket", "body"]
-
-    def run(batches):
-        known, part = shared.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            out_held = np.asarray(batch["held_out"].cast(pa.uint8()))
-            for a, b, data, offs in blocks(batch["b"], 2 << 20):
-                n, part = b - a, part + 1  # a number of its own for every run of texts, the same if the task runs again
-                score = np.concatenate([known.trie.score(d, o) for _, _, d, o in slices(data, offs)])
+    end_part, end_known = math.log10(corpus.ends + 0.5) - floor, int(corpus.ends > 0)
+
+    def run(table):
+        by = dict(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), strict=True))
+        texts = list(pa.ipc.open_stream(by.pop(-1)))
+        score = added(texts, [grown(by[k], np.uint32)[0] for k in sorted(by) if k < fine], fine)
+        n, above, found = len(score), 0, []
+        for t in texts:
+            for a, b, data, offs in blocks(t["b"]):
                 h, row = word_hashes(data, offs)
-                at = np.minimum(np.searchsorted(known.words, h), max(0, len(known.words) - 1))
-                hit = known.words[at] == h if len(known.words) else np.zeros(len(h), bool)
-                base = np.bincount(row[hit], np.log10(known.counts[at[hit]] + 0.5) - floor, n) + end_part
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), batch["doc_id"].slice(a, n), batch["held_out"].slice(a, n), pa.array(np.bincount(row, minlength=n) + 1),
-                     pa.array(np.bincount(row[hit], minlength=n) + end_known), pa.array(base), pa.array(score), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
-                rare, row = h[~hit], row[~hit]
-                to = (rare >> U64(16)) % U64(buckets)
-                order = np.lexsort((row, rare, to))
-                rare, row, to = rare[order], row[order], to[order].astype(np.int64)
-                head = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(head, len(rare)))
-                rare, row, to = rare[head], row[head], to[head]
-                ends = np.searchsorted(to, np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(ends)).tolist()
-                cut = [slice(ends[k], ends[k + 1]) for k in full]
-                body = [shrunk(np.diff(rare[s], prepend=U64(0)), row[s].astype(np.uint32), times[s].astype(np.uint32), 1 - out_held[a:b]) for s in cut]
-                m = len(full)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, part)), pa.nulls(m, pa.int32()), pa.nulls(m, batch.schema.field("doc_id").type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2,
-                     pa.array(full, pa.int64()), pa.array(body, pa.binary())], names=names)
-
-    def add(table):
-        parts = [grown(x, np.uint64, np.uint32, np.uint32, np.uint8) for x in table["body"].to_pylist()]
-        word = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        times = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        train = np.concatenate([p[3][p[1]] for p in parts])
-        _, at = np.unique(word, return_inverse=True)
-        count = np.bincount(at, times * train)[at]
-        value, known = times * (np.log10(count + 0.5) - floor), times * (count > 0)
-        out, a = [], 0
-        for part, p in zip(table["part"].to_pylist(), parts, strict=True):
-            b = a + len(p[1])
-            row, back = np.unique(p[1], return_inverse=True)
-            out.append(shrunk(row, np.bincount(back, value[a:b]), np.bincount(back, known[a:b]).astype(np.int64)))
-            a = b
-        return pa.table({"part": table["part"], "body": pa.array(out, pa.binary())})
-
-    def total(table):
-        parts = [grown(x, np.uint32, np.float64, np.int64) for x in table["body"].to_pylist()]
-        row, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        base, known = (np.bincount(at, np.concatenate([p[k] for p in parts])) for k in (1, 2))
-        return pa.table([pa.array(np.full(len(row), table["part"][0].as_py())), pa.array(row.astype(np.int32)), pa.array(base), pa.array(known.astype(np.int64))], names=["_p", "_i", "_base", "_known"])
-
-    both = stash(rows.mapInArrow(run, f"part long, i int, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, bucket long, body binary"), "scores")
-    more = both.where("bucket is not null").select("part", "bucket", "body").groupBy("bucket").applyInArrow(lambda t: add(t), "part long, body binary")
-    more = more.groupBy("part").applyInArrow(lambda t: total(t), "_p long, _i int, _base double, _known long")
-    out = both.where("bucket is null").join(more, (F.col("part") == F.col("_p")) & (F.col("i") == F.col("_i")), "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
-    )
-
-
-def slices(data: np.ndarray, offs: np.ndarray, limit: int = 1 << 20):
-    """Runs of rows of about ``limit`` bytes, to keep the working arrays small."""
-    a, n = 0, len(offs) - 1
-    while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1))
-        yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-        a = b
+                found.append((h, row + above))
+                above += b - a
+        h, row = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        hit, at = known_at(common.value, h)
+        count = np.zeros(len(h), np.int64)
+        count[hit] = counts.value[at[hit]]
+        rare = tallied(h[~hit])[0]
+        told = np.zeros(len(rare), np.int64)
+        told[by_bucket(word_bucket(rare, buckets))] = np.concatenate([np.zeros(0, np.int64), *[grown(by[k], np.int64)[0] for k in sorted(by) if k >= fine]])
+        count[~hit] = told[np.searchsorted(rare, h[~hit])]
+        base = np.bincount(row, np.log10(count + 0.5) - floor, n) + end_part
+        ids, held_out = (pa.chunked_array([t[c] for t in texts]).combine_chunks() for c in ("doc_id", "held_out"))
+        return pa.table([ids, held_out, pa.array(np.bincount(row, minlength=n) + 1), pa.array(np.bincount(row[count > 0], minlength=n) + end_known), pa.array(base), pa.array(score)],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    asked, texts, drop = stash_apart(ask(rows, fine, buckets, common), "asked", "asks")
+    told = stash(answer(asked, fine, low), "told")
+    drop()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = texts.unionByName(told).groupBy("part").applyInArrow(lambda t: run(t), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -74,6 +74,34 @@ def test_scores_against_brute_force(corpus, by_id):
         assert r.score == pytest.approx(brute(seen, t, least), abs=(1 + len((t or "").encode())) / ppm.SCALE)
 
 
+def test_contexts_that_occur_twice_count_in_corpora_of_any_size(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    texts = {i: "".join(rng.choices(letters, k=4000)) for i in range(250)}
+    twice = "zyxwvutsrqponmlkjihgfedcba" * 3
+    texts |= {1000: twice, 1001: twice, 1002: twice, 1003: twice}
+    assert 4e-6 * sum(len(t) for i, t in texts.items() if not held(i)) > 2.5
+    got = {r.doc_id: r.score for r in ppm.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    seen = trained(texts)
+    for i in [*range(8), 1000, 1001]:
+        assert got[i] == pytest.approx(brute(seen, texts[i], 2), abs=(1 + len(texts[i])) / ppm.SCALE)
+
+
+def test_costs_by_bucket_are_those_of_the_whole_trie():
+    rng = random.Random(4)
+    texts = [prose(rng, 30).encode() for _ in range(40)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    trained_on = int(offs[30])
+    key, count = ppm.tallied(ppm.context_symbols(data[:trained_on], offs[:31]))
+    low = ppm.merged([key & np.uint64(0xFFFFFF)], [count])
+    asked = np.unique(ppm.context_symbols(data, offs))
+    whole = ppm.priced(*ppm.merged([key, asked], [count, np.zeros(len(asked), np.int64)]), low)
+    every, n = ppm.merged([key, asked], [count, np.zeros(len(asked), np.int64)])
+    to = ppm.bucket_of(every, 5)
+    for b in range(5):
+        assert (ppm.priced(every[to == b], n[to == b], low) == whole[to == b]).all()
+
+
 def test_probabilities_of_every_context_sum_to_one(corpus, by_id):
     rows = corpus.select(F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     trie = ppm.learn(rows)[0].trie
