@@ -7,18 +7,18 @@ k ln k darts instead of k hashes a word. Bands of coordinates give candidates; t
 member, and beyond that only where the triangle inequality of the Jaccard distance leaves a link open.
 
 Edge cases: equal texts are one node and share a class; a null text or one without words is alone unless its text is
-repeated (null never is); a text under five words is one element; rows that share a doc_id count as one document; an empty
-table gives no rows. Other columns do not matter. No bucket is cut and no candidate is dropped.
+repeated (null never is); a text under five words is one element; different texts that share a doc_id are compared each on
+its own; a class is named by its least doc_id that is not null, so rows of a class of null ids alone get null; an empty table
+gives no rows. Other columns do not matter. No bucket is cut and no candidate is dropped.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, boxed, mix, per_row, prefix_hash, release, span_hash, stash, unboxed, words
@@ -102,13 +102,17 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h
 
 
+def text_hash() -> Column:
+    """16 bytes that name a text, null for a null text."""
+    return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+
+
 def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
     """doc_id, text_hash (null for a null text), n_shingles, bands (empty where there are no words)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            known = batch["known"].to_pylist()
             for a, b, data, offs in blocks(batch["b"], 1 << 20):
                 row, h, times = shingles(data, offs)
                 n = b - a
@@ -117,27 +121,26 @@ def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
                 bands = band_hashes(sig).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(count > 0, bands.shape[1], 0))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[count > 0].ravel()))
-                raw = data.tobytes()
-                text = [hashlib.blake2b(raw[offs[i] : offs[i + 1]], digest_size=16).digest() if known[a + i] else None for i in range(n)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), pa.array(text, pa.binary()), pa.array(count, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), batch["text_hash"].slice(a, n), pa.array(count, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "bands"])
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"), F.col("text").isNotNull().alias("known"))
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     return rows.mapInArrow(run, f"doc_id {id_type}, text_hash binary, n_shingles long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents whose ids are in the column ``id`` of ids: sorted 64-bit shingle hashes as bytes."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b")).join(ids.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, set) of nodes (node, text_hash, least): sorted 64-bit shingle hashes as bytes, of the text under its least doc_id."""
+    wanted = nodes.select("node", F.col("text_hash").alias("_hash"), "least")
+    texts = docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    texts = texts.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "b")
 
     def sets(batches):
         for batch in batches:
             for a, b, data, offs in blocks(batch["b"]):
                 row, h, _ = shingles(data, offs)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["id", "set"])
 
-    return texts.mapInArrow(sets, f"id {id_type}, set binary").dropDuplicates(["id"])
+    return texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"])
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -198,16 +201,18 @@ def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     return rows.groupBy("band", "i", "k").applyInArrow(links, f"a {id_type}, b {id_type}")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
-    """doc_id, class_id for every row: the least doc_id of those that chains of links at the threshold or equal texts reach."""
+def classified(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash), and for each text (text_hash, class_id, chosen): the least doc_id of its class, and whether the class goes by this text."""
     seen = stash(signatures(docs, weights), "signatures", gather=True)
-    # Written down, so that joins with it can split the rows of a text that very many documents hold.
-    first = stash(seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("node")), "texts")
-    nodes = stash(seen.where("n_shingles > 0").join(first, "text_hash").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]), "nodes")
+    # Written down, so that joins with it can split the rows of a text that very many documents hold, and numbers stay.
+    first = seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("least"))
+    first = stash(first.withColumn("node", F.monotonically_increasing_id()), "texts")
+    nodes = seen.where("n_shingles > 0").join(first, "text_hash").where("doc_id <=> least")
+    nodes = stash(nodes.select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = stash(banded.join(buckets.select("band", "centre"), "band"), "buckets")
-    sets = stash(shingle_sets(docs, members.select(F.col("node").alias("id")).distinct()), "shingle-sets")
+    sets = stash(shingle_sets(docs, first.join(members.select("node").distinct(), "node")), "shingle-sets")
 
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     scored = stash(similarities(star, sets), "star")
@@ -220,11 +225,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set
     if not more.isEmpty():
         labels = components(links.union(more))
     release(docs.sparkSession)
-    classes = first.join(labels, "node", "left").select("text_hash", F.coalesce("label", "node").alias("class_id"))
-    return seen.select("doc_id", "text_hash").join(classes, "text_hash", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    ends = first.join(labels, "node")
+    named = ends.groupBy("label").agg(F.min("least").alias("_least"))
+    linked = ends.join(named, "label").select(F.col("node").alias("_node"), "label", "_least")
+    both = first.join(linked, F.col("node") == F.col("_node"), "left")
+    return seen.select("doc_id", "text_hash"), both.select("text_hash", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("_least")).alias("class_id"), (F.coalesce("label", "node") == F.col("node")).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
+    """doc_id, class_id for every row: the least doc_id of those that chains of links at the threshold or equal texts reach."""
+    seen, classes = classified(docs, threshold, weights)
+    return seen.join(classes, "text_hash", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but one (the least doc_id) of each near-duplicate class."""
-    gone = near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return unboxed(boxed(docs, key=docs["doc_id"]).join(gone, F.col("key") == F.col("gone"), "left_anti"), docs.columns)
+    """The documents less all but one (the least doc_id; any one row where all ids are null) of each near-duplicate class."""
+    seen, classes = classified(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_id").isNotNull() | F.col("chosen"))
+    gone = seen.join(classes, "text_hash").where(~stays).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("_hash"))
+    rows = boxed(docs, key=docs["doc_id"], hash=text_hash())
+    kept = rows.join(gone, F.col("key").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("_hash")), "left_anti")
+    if not seen.where("doc_id is null and text_hash is not null").isEmpty():
+        alone = F.col("key").isNull() & F.col("hash").isNotNull()
+        kept = kept.where(~alone).union(kept.where(alone).dropDuplicates(["hash"]))
+    return unboxed(kept, docs.columns)

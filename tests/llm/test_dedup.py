@@ -88,6 +88,20 @@ def test_keep_one(corpus, by_id):
     assert kept.columns == corpus.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_shared_and_null_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    near = lambda t: t + " odd"
+    given = [(3, near(a)), (5, a), (5, b), (7, near(b)), (None, c), (None, c), (None, near(c)), (None, d), (9, near(d)), (5, e), (None, None), (None, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()), key=str)
+    want = [(3, 3), (5, 3), (5, 5), (7, 5), (None, None), (None, None), (None, None), (None, 9), (9, 9), (5, 5), (None, None), (None, None)]
+    assert got == sorted(want, key=str)
+    kept = [tuple(r) for r in neardup.keep_one(docs).collect()]
+    assert sorted((r for r in kept if r[0] is not None), key=str) == sorted([(3, near(a)), (5, b), (9, near(d)), (5, e)], key=str)
+    assert len(kept) == 7 and sum(r == (None, None) for r in kept) == 2 and sum(r[1] in (c, near(c)) for r in kept) == 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
