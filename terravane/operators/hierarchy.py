@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 
 def scales(nodes: DataFrame) -> DataFrame:
     return nodes.select("scale").distinct()
@@ -58,18 +60,15 @@ def from_stack(stack: DataFrame, levels: list[float]) -> DataFrame:
     return one.withColumn("p", F.explode(paths)).groupBy("p.node", "p.parent", "p.scale").agg(F.count("*").alias("n"))
 
 
-def roots_of(nodes: DataFrame, keys: DataFrame, depth: int = 64) -> DataFrame:
-    """The keys that no other key is an ancestor of."""
-    up = nodes.select(F.col("node").alias("_n"), F.col("parent").alias("_up"))
-    way = keys.select("node", F.col("node").alias("at"))
-    below = None
-    for _ in range(depth):
-        way = way.join(up, F.col("at") == F.col("_n")).where("_up is not null").select("node", F.col("_up").alias("at"))
-        if way.isEmpty():
-            break
-        hit = way.join(keys.select(F.col("node").alias("_k")), F.col("at") == F.col("_k"), "left_semi").select("node")
-        below = hit if below is None else below.union(hit)
-    return keys.select("node") if below is None else keys.select("node").join(below.distinct(), "node", "left_anti")
+def roots_of(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keys that no other key is an ancestor of. Every round doubles how far up each node has looked, until all reach a key or the top."""
+    named = keys.select(F.col("node").alias("_k")).distinct()
+    way = nodes.select("node", F.col("parent").alias("up")).join(named, F.col("up") == F.col("_k"), "left")
+    way = settle(way.select("node", F.when(F.col("_k").isNull(), F.col("up")).alias("up"), F.col("_k").isNotNull().alias("under")))
+    while not way.where("up is not null").isEmpty():
+        above = way.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("under").alias("_under"))
+        way = settle(way.join(above, F.col("up") == F.col("_n"), "left").select("node", F.col("_up").alias("up"), (F.col("under") | F.coalesce("_under", F.lit(False))).alias("under")))
+    return keys.select("node").join(way.where("under").select("node"), "node", "left_anti")
 
 
 def indicator(nodes: DataFrame, node_atoms: DataFrame, pixel_region: DataFrame, scale: float) -> DataFrame:

@@ -25,6 +25,12 @@ def test_runs_end_with_the_line(spark):
     assert sorted(map(tuple, rle.decode(rle.encode(lines)).collect())) == sorted(map(tuple, lines.collect()))
 
 
+def test_roots_of_keys_far_apart(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(100)] + [(200, None), (201, 200)], "node long, parent long")
+    keys = spark.createDataFrame([(0,), (99,), (201,)], "node long")
+    assert sorted(r.node for r in hierarchy.roots_of(nodes, keys).collect()) == [0, 201]
+
+
 def test_adjacency(spark):
     assert {tuple(r) for r in neighbours.adjacency(grid(spark, [[0, 0, 1], [2, 2, 1]])).collect()} == {(0, 1), (0, 2), (1, 2)}
 
