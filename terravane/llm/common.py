@@ -2,76 +2,33 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import freed_shuffles, new_path, own_folder, settle as stash, sweep  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 GAP = np.zeros(256, bool)
 GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terravane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/terravane-{spark.sparkContext.applicationId}"
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove this application's tables from the shared folder, once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stash(df: DataFrame, label: str, gather: bool = False) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation.
-
-    gather: deal the rows to parts of the session's advisory size first, for narrow results of wide scans, which else leave
-    a tiny file for every task.
-    """
-    df = df.hint("rebalance") if gather else df
-    path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    release(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def stash_apart(df: DataFrame, label: str, flag: str) -> tuple[DataFrame, DataFrame, Callable]:
     """As stash, for rows where the boolean column holds and where it does not (without it); the last, called, drops the former."""
-    spark, path = df.sparkSession, f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    release(spark)
-    kept = df.drop(flag).schema
-    df.write.option("compression", "zstd").partitionBy(flag).parquet(path)
+    spark = df.sparkSession
+    path, kept = new_path(spark, label), df.drop(flag).schema
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").partitionBy(flag).parquet(path)
     folder = lambda v: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{flag}={v}")
     files = folder("true").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     both = [spark.read.schema(kept).parquet(f"{path}/{flag}={v}") if files.exists(folder(v)) else spark.createDataFrame([], kept) for v in ("true", "false")]
     return *both, lambda: files.delete(folder("true"), True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are written down: it does so when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def boxed(docs: DataFrame, **named: Column) -> DataFrame:
     """Whole rows as one column ``row`` beside the named ones, so that no name of the table can clash with ours."""
     return docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *[v.alias(k) for k, v in named.items()])

@@ -68,11 +68,12 @@ def sainte_lague(df: DataFrame, group: list[str], order: list[str], weight: str,
     return ranked.withColumn("_place", place).groupBy(*df.columns).agg((F.first("_sure") + won).alias(out))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_words: int = 1 << 17, max_shards: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_words: int = 1 << 17, max_shards: int = 1 << 16, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, shard, taken: the words that the mix takes of each document.
 
     Blocks hold ``block_words`` words, or fewer if the smallest target would get under 64 of them. A source is dealt
-    into shards of about ``shard_words`` words, ``max_shards`` at most, so a hot source is spread over many tasks.
+    into shards of about ``shard_words`` words, so a hot source is spread over many tasks. A source's shards are ranked in one
+    task, a few quotients each, so there are ``max_shards`` at most; beyond that shards grow, and their narrow rows are sorted on disk.
     """
     key = id_hash(seed, "doc_id")
     sized = stash(docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key")), "mix-sizes", gather=True)
@@ -109,10 +110,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The mixed corpus: each document as often as its taken words ask for, the fraction settled by a seeded draw.
 
-    Rows that share a doc_id and a size are each written as often as the one of them that is taken most.
+    Rows that share a doc_id and a size take the mean of what the mix takes of them, with a draw for each, so that together they
+    come to what it takes of all of them.
     """
-    draw = id_hash(seed + "-draw", "doc_id") / F.lit(float(1 << 60))
-    often = F.floor(F.col("taken") / F.col("size") + draw).cast("int")
-    many = mix(docs, seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max(often).alias("_n"))
-    rows = boxed(docs, key=docs["doc_id"], size=word_count()).join(many.where("_n > 0"), F.col("key").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
-    return unboxed(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))), docs.columns)
+    key, size, share = F.col("key"), F.col("size"), F.col("_taken") / F.col("size")
+    many = mix(docs, seed=seed, **options).where("taken > 0 or size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
+    many = many.agg(F.avg("taken").alias("_taken"), F.count("*").alias("_rows")).where("_taken > 0")
+    rows = boxed(docs, key=docs["doc_id"], size=word_count(), any=F.monotonically_increasing_id())
+    rows = rows.join(many, key.eqNullSafe(F.col("_id")) & (size == F.col("_size")))
+    alone, shared = id_hash(seed + "-draw", "key"), id_hash(seed + "-draw", "key", "any")
+    draw = F.when(F.col("_rows") == 1, alone).otherwise(shared) / F.lit(float(1 << 60))
+    often = F.floor(share + draw).cast("int")
+    return unboxed(rows.withColumn("_n", often).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))), docs.columns)

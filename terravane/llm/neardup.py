@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures, bands, and an exact check.
 
-A text is the set of its runs of five words (weight 1 each, or its number of occurrences). Every element throws darts into
+A text is the weighted set of its runs of five words: each weighs as often as it occurs (or 1, with ``weights="set"``). Every element throws darts into
 the region [0, weight) x [0, rank) of an endless plane that its hash fixes; a coordinate keeps the dart of least rank, so two
 texts agree on a coordinate with the probability of their weighted Jaccard similarity, and a text costs its length plus
 k ln k darts instead of k hashes a word. Bands of coordinates give candidates; those of a bucket are compared with its least
@@ -8,8 +8,9 @@ member, and beyond that only where the triangle inequality of the Jaccard distan
 
 Edge cases: equal texts are one node and share a class; a null text or one without words is alone unless its text is
 repeated (null never is); a text under five words is one element; different texts that share a doc_id are compared each on
-its own; a class is named by its least doc_id that is not null, so rows of a class of null ids alone get null; an empty table
-gives no rows. Other columns do not matter. No bucket is cut and no candidate is dropped.
+its own; a class is named by its least doc_id that is not null, so rows of a class of null ids alone get null; ``keep_one``
+keeps one row of a class, repeated rows included, and rows of null texts as they are; an empty table gives no rows. Other
+columns do not matter. No bucket is cut and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, boxed, mix, per_row, prefix_hash, release, span_hash, stash, unboxed, words
-from .components import components
+from ..operators.neighbours import least_labels
+from .common import U64, blocks, boxed, byte_view, mix, per_row, prefix_hash, span_hash, stash, unboxed, words
 
 WIDTH, COORDINATES, BANDS = 5, 128, 32
 MASK = (1 << 64) - 1
@@ -107,8 +108,8 @@ def text_hash() -> Column:
     return F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
 
 
-def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
-    """doc_id, text_hash (null for a null text), n_shingles, bands (empty where there are no words)."""
+def signatures(docs: DataFrame, weights: str = "count") -> DataFrame:
+    """doc_id, text_hash (null for a null text), weight (of all shingles), bands (empty where there are no words)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -116,18 +117,28 @@ def signatures(docs: DataFrame, weights: str = "set") -> DataFrame:
             for a, b, data, offs in blocks(batch["b"], 1 << 20):
                 row, h, times = shingles(data, offs)
                 n = b - a
-                count = per_row(row, n)
-                sig = dart_minhash(row, h, times.astype(float) if weights == "count" else np.ones(len(h)), n)
+                each = times.astype(float) if weights == "count" else np.ones(len(h))
+                count = per_row(row, n, each).astype(np.int64)
+                sig = dart_minhash(row, h, each, n)
                 bands = band_hashes(sig).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(count > 0, bands.shape[1], 0))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands[count > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), batch["text_hash"].slice(a, n), pa.array(count, pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), batch["text_hash"].slice(a, n), pa.array(count, pa.int64()), lists], names=["doc_id", "text_hash", "weight", "bands"])
 
     rows = docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash binary, n_shingles long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash binary, weight long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def occurrences(row: np.ndarray, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), sorted, with a name of its own for each occurrence of a shingle: plain sets of these have the weighted similarity."""
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    row, h = np.repeat(row, times), np.repeat(h, times)
+    h = np.where(nth > 0, mix(h + nth.astype(np.uint64) * U64(0xA0761D6478BD642F)), h)
+    order = np.lexsort((h, row))
+    return row[order], h[order]
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, weights: str = "count") -> DataFrame:
     """(id, set) of nodes (node, text_hash, least): sorted 64-bit shingle hashes as bytes, of the text under its least doc_id."""
     wanted = nodes.select("node", F.col("text_hash").alias("_hash"), "least")
     texts = docs.select("doc_id", text_hash().alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
@@ -136,7 +147,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def sets(batches):
         for batch in batches:
             for a, b, data, offs in blocks(batch["b"]):
-                row, h, _ = shingles(data, offs)
+                row, h, times = shingles(data, offs)
+                if weights == "count":
+                    row, h = occurrences(row, h, times)
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["id", "set"])
 
@@ -163,89 +176,105 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(compare, f"a {id_type}, b {id_type}, s double")
 
 
-def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, tile: int = 1 << 18) -> DataFrame:
+def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, tile: int = 1 << 16) -> DataFrame:
     """Links (a, b) between members of a bucket in different components that the star of its centre left open.
 
-    placed: band, node, n, s (similarity to the bucket's centre), component. Buckets are laid out in tiles of about ``tile``
-    shingles; a task compares two tiles and returns links alone. A pair is looked at in the first band it shares, and only
-    if its sizes and the triangle inequality of the Jaccard distance allow a link.
+    placed: band, node, n, s (similarity to the bucket's centre), component. A bucket's heaviest component needs no look at
+    itself: its members and those of all others are laid out in tiles of about ``tile`` shingles, and only pairs of tiles with
+    one of the others meet, each in a group of its own, which returns links alone. A pair is looked at in the first band it
+    shares, and only if its sizes and the triangle inequality of the Jaccard distance allow a link.
     """
     id_type = nodes.schema["node"].dataType.simpleString()
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("all")).where("lo <> hi and m > 2")
-    mixed = mixed.select("band", F.ceil(F.col("all") / tile).alias("tiles"))
-    mine = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    rows = placed.join(mixed, "band").withColumn("mine", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    shares = placed.groupBy("band", "component").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("w", "component")).alias("home"), F.sum("w").alias("all"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1 and m > 2")
+    mixed = mixed.select("band", F.col("home.component").alias("home"), F.ceil((F.col("all") - F.col("home.w")) / tile).alias("others"), F.ceil(F.col("home.w") / tile).alias("tiles"))
+    h = F.xxhash64("node")
+    rows = placed.join(mixed, "band").withColumn("mine", F.when(F.col("component") == F.col("home"), F.col("others") + F.pmod(h, F.col("tiles"))).otherwise(F.pmod(h, F.col("others"))))
+    most = F.when(F.col("component") == F.col("home"), F.col("others")).otherwise(F.col("others") + F.col("tiles"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
     rows = rows.select("band", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("k"), "mine", "node", "n", "s", "component")
     rows = rows.join(nodes.select("node", "bands"), "node").join(sets.withColumnRenamed("id", "node"), "node")
     apart = 1 - threshold + 1e-9
 
     def links(key, table):
         band, i, k = (x.as_py() for x in key)
-        t = {c: np.asarray(table[c]) for c in ("mine", "n", "s", "component")}
-        node, sets_ = table["node"].to_pylist(), table["set"].to_pylist()
-        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(node), -1)
-        found = []
-        for x in range(len(node)):
-            if t["mine"][x] != i:
-                continue
-            ok = (t["component"] != t["component"][x]) & (np.minimum(t["n"], t["n"][x]) >= threshold * np.maximum(t["n"], t["n"][x])) & (np.abs(t["s"] - t["s"][x]) <= apart) & (t["mine"] == k)
-            ok[x] = False
+        t = {c: np.asarray(table[c]) for c in ("mine", "n", "s", "component", "node")}
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).reshape(len(t["node"]), -1)
+        data, offs = byte_view(table["set"].combine_chunks())
+        hashes, cut = data[offs[0] : offs[-1]].view(np.uint64), (offs - offs[0]) // 8
+        there = np.flatnonzero(t["mine"] == k)
+        # The shingles of one tile in order, with the member that holds each: a member of the other counts its own among them.
+        owner = np.repeat(np.arange(len(there)), np.diff(cut)[there])
+        held = np.concatenate([hashes[cut[y] : cut[y + 1]] for y in there] or [hashes[:0]])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        found: list[tuple] = []
+        for x in np.flatnonzero(t["mine"] == i).tolist():
+            ok = (t["component"][there] != t["component"][x]) & (np.minimum(t["n"][there], t["n"][x]) >= threshold * np.maximum(t["n"][there], t["n"][x])) & (np.abs(t["s"][there] - t["s"][x]) <= apart)
             if i == k:
-                ok[:x] = False
-            for y in np.flatnonzero(ok).tolist():
-                if bands[x][(bands[x] == bands[y]).argmax()] == band and jaccard(sets_[x], sets_[y]) >= threshold:
-                    found.append((min(node[x], node[y]), max(node[x], node[y])))
-        kind = table["node"].type
-        return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
+                ok &= there > x
+            ok[ok] = bands[x][(bands[there[ok]] == bands[x]).argmax(1)] == band
+            if not ok.any():
+                continue
+            mine = hashes[cut[x] : cut[x + 1]]
+            low = np.searchsorted(held, mine, "left")
+            many = np.searchsorted(held, mine, "right") - low
+            hits = np.bincount(owner[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(there))
+            y = there[ok]
+            sure = hits[ok] >= threshold * (len(mine) + np.diff(cut)[y] - hits[ok])
+            found += [(min(t["node"][x], b), max(t["node"][x], b)) for b in t["node"][y[sure]]]
+        return pa.table({"a": pa.array([a for a, _ in found], table["node"].type), "b": pa.array([b for _, b in found], table["node"].type)})
 
     return rows.groupBy("band", "i", "k").applyInArrow(links, f"a {id_type}, b {id_type}")
 
 
-def classified(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, threshold: float = 0.8, weights: str = "count") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash), and for each text (text_hash, class_id, chosen): the least doc_id of its class, and whether the class goes by this text."""
     seen = stash(signatures(docs, weights), "signatures", gather=True)
     # Written down, so that joins with it can split the rows of a text that very many documents hold, and numbers stay.
     first = seen.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("least"))
     first = stash(first.withColumn("node", F.monotonically_increasing_id()), "texts")
-    nodes = seen.where("n_shingles > 0").join(first, "text_hash").where("doc_id <=> least")
-    nodes = stash(nodes.select("node", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["node"]), "nodes")
+    nodes = seen.where("weight > 0").join(first, "text_hash").where("doc_id <=> least")
+    nodes = stash(nodes.select("node", F.col("weight").alias("n"), "bands").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = stash(banded.join(buckets.select("band", "centre"), "band"), "buckets")
-    sets = stash(shingle_sets(docs, first.join(members.select("node").distinct(), "node")), "shingle-sets")
+    sets = stash(shingle_sets(docs, first.join(members.select("node").distinct(), "node"), weights), "shingle-sets")
 
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     scored = stash(similarities(star, sets), "star")
     links = scored.where(F.col("s") >= threshold).select("a", "b")
-    labels = components(links)
+    labels = least_labels(links)
     placed = members.where("node <> centre").join(scored.select(F.col("a").alias("centre"), F.col("b").alias("node"), "s"), ["centre", "node"]).select("band", "node", "n", "s")
     placed = placed.union(members.where("node = centre").select("band", "node", "n", F.lit(1.0)))
-    placed = placed.join(labels, "node", "left").select("band", "node", "n", "s", F.coalesce("label", "node").alias("component"))
+    placed = stash(placed.join(labels, "node", "left").select("band", "node", "n", "s", F.coalesce("label", "node").alias("component")), "placed")
     more = stash(open_links(placed, nodes, sets, threshold).distinct(), "open-links")
     if not more.isEmpty():
-        labels = components(links.union(more))
-    release(docs.sparkSession)
+        labels = least_labels(links.union(more))
     ends = first.join(labels, "node")
-    named = ends.groupBy("label").agg(F.min("least").alias("_least"))
-    linked = ends.join(named, "label").select(F.col("node").alias("_node"), "label", "_least")
+    named = ends.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("_none"), "least", "node")).alias("_head"))
+    linked = ends.join(named, "label").select(F.col("node").alias("_node"), "_head")
     both = first.join(linked, F.col("node") == F.col("_node"), "left")
-    return seen.select("doc_id", "text_hash"), both.select("text_hash", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("_least")).alias("class_id"), (F.coalesce("label", "node") == F.col("node")).alias("chosen"))
+    alone = F.col("_head").isNull()
+    classes = both.select("text_hash", F.when(alone, F.col("least")).otherwise(F.col("_head.least")).alias("class_id"), (alone | (F.col("_head.node") == F.col("node"))).alias("chosen"))
+    return seen.select("doc_id", "text_hash"), classes
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "set") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, weights: str = "count") -> DataFrame:
     """doc_id, class_id for every row: the least doc_id of those that chains of links at the threshold or equal texts reach."""
     seen, classes = classified(docs, threshold, weights)
     return seen.join(classes, "text_hash", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but one (the least doc_id; any one row where all ids are null) of each near-duplicate class."""
-    seen, classes = classified(docs)
-    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("doc_id").isNotNull() | F.col("chosen"))
-    gone = seen.join(classes, "text_hash").where(~stays).select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("_hash"))
+def keep_one(docs: DataFrame, threshold: float = 0.8, weights: str = "count") -> DataFrame:
+    """The documents less all but one row (of the least doc_id, and of one text under it) of each near-duplicate class."""
+    seen, classes = classified(docs, threshold, weights)
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("chosen")
+    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    same = F.col("key").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     rows = boxed(docs, key=docs["doc_id"], hash=text_hash())
-    kept = rows.join(gone, F.col("key").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("_hash")), "left_anti")
-    if not seen.where("doc_id is null and text_hash is not null").isEmpty():
-        alone = F.col("key").isNull() & F.col("hash").isNotNull()
-        kept = kept.where(~alone).union(kept.where(alone).dropDuplicates(["hash"]))
+    kept = rows.join(named(seen.join(classes, "text_hash").where(~stays)), same, "left_anti")
+    twins = stash(seen.where("text_hash is not null").groupBy("doc_id", "text_hash").count().where("count > 1"), "twins")
+    if not twins.isEmpty():
+        kept = kept.join(named(twins), same, "left_anti").union(kept.join(named(twins), same, "left_semi").dropDuplicates(["key", "hash"]))
     return unboxed(kept, docs.columns)

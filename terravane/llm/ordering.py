@@ -1,18 +1,20 @@
 """Training-order materialisation: token ids in fixed-stride shards, every sequence at a slot of a keyed permutation.
 
-Texts become sequences of up to ``length`` ids (two bytes each, padded), numbered in table order. A keyed Feistel network with
-cycle-walking permutes the numbers; a shard holds a range of slots, each at an offset that follows from its slot, so a reader needs only a slot to
-resume. Shards are one file each, written by Spark's own committer, which a lost executor cannot leave half done; the text
-writer ends each block of 128 sequences with a line feed, which the offsets count.
-
-Edge cases: a null or empty text is one sequence of the end id; a document longer than a sequence is cut, never shortened;
-repeated rows are sequences of their own; an empty table gives an empty layout. Numbers follow the order of the table's files
-and splits, so reruns over one table with one split size agree. Other columns do not matter.
+Texts become sequences of up to ``length`` ids (padded), numbered in order of doc_id and text. A keyed Feistel network with
+cycle-walking permutes the numbers; a shard is one file that holds a range of slots, each in ``stride`` bytes, so a reader
+needs only a slot to resume. Shards are written by Spark's own committer, which a lost executor cannot leave half done: its
+text writer ends every record with a line feed, which is the last byte of the stride.
+
+Ids take two bytes, or four where the tokenizer has ids of 0xFFFF and more; the largest number pads. Numbers follow from the rows
+alone, so reruns agree whatever the files, splits, partitions and cores.
+
+Edge cases: a null or empty text is one sequence of the end id; a null doc_id comes first; a document longer than a sequence is
+cut, never shortened; repeated rows are sequences of their own, alike in all but their slots; an empty table gives an empty
+layout. Other columns do not matter.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -23,11 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, own_dir, stash, text_bytes
-from .tokens import END, encoded, tokenizer_path
+from .common import U64, freed_shuffles, mix, new_path, stash, text_bytes
+from .tokens import END, encoded, largest_id, tokenizer_path
 
-LENGTH, SHARD_BYTES, ROUNDS, PAD = 256, 8 << 20, 6, 0xFFFF
-BLOCK = 128  # sequences in a written row
+LENGTH, SHARD_BYTES, MOST_SHARDS, ROUNDS = 256, 8 << 20, 1 << 18, 6
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -57,20 +58,33 @@ class Layout:
     path: str
     sequences: int
     length: int
+    width: int
     per_shard: int
     index: DataFrame
 
+    @property
+    def stride(self) -> int:
+        return self.length * self.width + 1
+
+    def shard(self, slot: Column) -> Column:
+        return F.floor(slot / self.per_shard).cast("long")
+
     def offset(self, slot: Column) -> Column:
         """Where a slot starts in its shard's file."""
-        at = F.pmod(slot, F.lit(self.per_shard))
-        return (at * (2 * self.length) + F.floor(at / BLOCK)).cast("long")
+        return (F.pmod(slot, F.lit(self.per_shard)) * self.stride).cast("long")
 
 
 def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, tokenizer: str = "word_bpe_49k.json", end: int = END) -> Layout:
-    """Write the shards below ``path`` (the shared folder by default); index: doc_id, piece, slot for every sequence."""
+    """Write the shards below ``path`` (the shared folder by default); index: doc_id, piece, slot for every sequence.
+
+    Shards take ``shard_bytes``, or more where that would make over MOST_SHARDS of them. Texts are put in order before they
+    become ids, as the numbers must not depend on how the table is split.
+    """
     spark, where = docs.sparkSession, tokenizer_path(tokenizer)
-    path = path or f"{own_dir(spark)}/training-order-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "training-order")
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    width = 2 if largest_id(where) < 0xFFFF else 4
+    kind = f"<u{width}"
 
     def cut(batches):
         task, local = TaskContext.get().partitionId(), 0
@@ -78,15 +92,19 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             many = np.array([-(-len(x) // (4 * length)) for x in ids], np.int64)
             before = local + np.cumsum(many) - many
             local += int(many.sum())
-            small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            small = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), task, np.int32)), pa.array(before), pa.array(many), rows["doc_id"], pa.array(small, pa.binary())], names=["task", "before", "many", "doc_id", "ids"])
 
-    tokens = stash(docs.select("doc_id", text_bytes().alias("b")).mapInArrow(cut, f"task int, before long, many long, doc_id {id_type}, ids binary"), "sequences")
+    # Rows alike in doc_id and text may fall into any range, so that no range is hot: they are interchangeable.
+    rows = docs.select("doc_id", text_bytes().alias("b")).select("doc_id", F.xxhash64("b").alias("v"), F.monotonically_increasing_id().alias("any"), "b")
+    rows = rows.repartitionByRange("doc_id", "v", "any").sortWithinPartitions("doc_id", "v", "b")
+    tokens = stash(rows.select("doc_id", "b").mapInArrow(cut, f"task int, before long, many long, doc_id {id_type}, ids binary"), "sequences")
     sums = {r.task: r.n for r in tokens.groupBy("task").agg(F.sum("many").alias("n")).collect()}  # a number for each task
     first = np.zeros(max(sums, default=-1) + 2, np.int64)
     first[1:] = np.cumsum([sums.get(t, 0) for t in range(len(first) - 1)])
     n = int(first[-1])
-    per_shard = BLOCK * max(1, shard_bytes // (2 * length * BLOCK))
+    stride = length * width + 1
+    per_shard = max(1, shard_bytes // stride, -(-n // MOST_SHARDS))
     start = spark.sparkContext.broadcast(first)
 
     def deal(batches):
@@ -98,9 +116,9 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             body = []
             for parts in held.values():
                 slot, ids = zip(*parts, strict=True)
-                head = np.array([len(parts), *slot, *[len(x) // 2 for x in ids]], np.int64).tobytes()
+                head = np.array([len(parts), *slot, *[len(x) // width for x in ids]], np.int64).tobytes()
                 body.append(zstandard.ZstdCompressor(level=3).compress(head + b"".join(ids)))
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(body, pa.binary())], names=["shard", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(body, pa.binary())], names=["shard", "body"])
 
         for batch in batches:
             number = start.value[np.asarray(batch["task"])] + np.asarray(batch["before"])
@@ -108,8 +126,8 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             slots = permuted(np.repeat(number - np.cumsum(many) + many, many) + np.arange(many.sum()), n, key).tolist()
             j = 0
             for ids in batch["ids"].to_pylist():
-                for a in range(0, len(ids), 2 * length):
-                    held.setdefault(slots[j] // per_shard, []).append((slots[j], ids[a : a + 2 * length]))
+                for a in range(0, len(ids), width * length):
+                    held.setdefault(slots[j] // per_shard, []).append((slots[j], ids[a : a + width * length]))
                     j += 1
                 size += len(ids)
             if size > 32 << 20:
@@ -118,22 +136,27 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
         if held:
             yield out()
 
-    def gather(key_, table):
-        shard = key_[0].as_py()
-        count = min(per_shard, n - shard * per_shard)
-        whole = np.full((count, length), PAD, "<u2")
-        for body in table["body"].to_pylist():
-            raw = zstandard.ZstdDecompressor().decompress(body)
-            m = int(np.frombuffer(raw, np.int64, 1)[0])
-            slot, size = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.int64, m, 8 + 8 * m)
-            ids = np.frombuffer(raw, "<u2", int(size.sum()), 8 + 16 * m)
-            at = np.repeat(slot - shard * per_shard, size) * length + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-            whole.ravel()[at] = ids
-        parts = [whole[a : a + BLOCK].tobytes() for a in range(0, count, BLOCK)]
-        return pa.table({"shard": pa.array([shard] * len(parts), pa.int64()), "block": pa.array(range(len(parts)), pa.int32()), "value": pa.array(parts, pa.binary())})
-
-    dealt = tokens.select("task", "before", "many", "ids").mapInArrow(deal, "shard long, body binary").groupBy("shard").applyInArrow(gather, "shard long, block int, value binary")
-    dealt.sortWithinPartitions("shard", "block").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    def gather(batches):
+        """The records of one shard in order of their slots."""
+        shard = TaskContext.get().partitionId()
+        whole = np.full((min(per_shard, n - shard * per_shard), length), -1, f"<i{width}").view(kind)
+        for batch in batches:
+            for body in batch["body"].to_pylist():
+                raw = zstandard.ZstdDecompressor().decompress(body)
+                m = int(np.frombuffer(raw, np.int64, 1)[0])
+                slot, size = np.frombuffer(raw, np.int64, m, 8), np.frombuffer(raw, np.int64, m, 8 + 8 * m)
+                ids = np.frombuffer(raw, kind, int(size.sum()), 8 + 16 * m)
+                at = np.repeat(slot - shard * per_shard, size) * length + np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+                whole.ravel()[at] = ids
+        for a in range(0, len(whole), 4096):
+            part = whole[a : a + 4096]
+            offsets = pa.py_buffer((np.arange(len(part) + 1, dtype=np.int32) * (width * length)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(part), [None, offsets, pa.py_buffer(part.tobytes())])], names=["value"])
+
+    if n:
+        dealt = tokens.select("task", "before", "many", "ids").mapInArrow(deal, "shard int, body binary").repartitionById(-(-n // per_shard), "shard")
+        with freed_shuffles(spark):
+            dealt.select("body").mapInArrow(gather, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
     def listed(batches):
         for batch in batches:
@@ -144,27 +167,41 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(slot)], names=["doc_id", "piece", "slot"])
 
     index = tokens.select("task", "before", "many", "doc_id").mapInArrow(listed, f"doc_id {id_type}, piece int, slot long")
-    return Layout(path, n, length, per_shard, index)
+    return Layout(path, n, length, width, per_shard, index)
+
+
+def globs(first: int, last: int) -> list[str]:
+    """Patterns for the numbers from first to last as Spark names its files: five digits, or more where they need more."""
+    out = []
+    while first <= last:
+        k = 0
+        while k < 5 and first % 10 ** (k + 1) == 0 and first + 10 ** (k + 1) - 1 <= last:
+            k += 1
+        name = f"{first:05d}"
+        out.append(name[: len(name) - k] + "[0-9]" * k)
+        first += 10**k
+    return out
 
 
 def read_slots(spark: SparkSession, layout: Layout, first: int, last: int, schema: str, emit) -> DataFrame:
-    """What emit(slots, padded ids, sizes) makes of the slots from first to before last, block by block; only their shards are opened."""
-    per, length = layout.per_shard, layout.length
+    """What emit(slots, padded ids, sizes) makes of the slots from first to before last, run by run; only their shards are opened."""
+    per, length, stride, width = layout.per_shard, layout.length, layout.stride, layout.width
     if first >= last:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(layout.path)
-    files = files.select(F.col("shard").cast("long").alias("shard"), "content").where((F.col("shard") >= first // per) & (F.col("shard") <= (last - 1) // per))
+    files = spark.read.format("binaryFile").load([f"{layout.path}/part-{g}-*" for g in globs(first // per, (last - 1) // per)])
+    files = files.select(F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("shard"), "content")
+    pad = (1 << 8 * width) - 1
 
     def read(batches):
-        step = 2 * length * BLOCK + 1  # a line feed ends each block
         for batch in batches:
             for shard, body in zip(batch["shard"].to_pylist(), batch["content"], strict=True):
-                raw = np.frombuffer(body.as_buffer(), np.uint8)
-                for a in range(0, len(raw), step):
-                    table = raw[a : min(a + step, len(raw)) - 1].view("<u2").reshape(-1, length)
-                    slots = shard * per + a // step * BLOCK + np.arange(len(table))
+                raw = np.frombuffer(body.as_buffer(), np.uint8).reshape(-1, stride)
+                for a in range(0, len(raw), 4096):
+                    table = np.ascontiguousarray(raw[a : a + 4096, :-1]).view(f"<u{width}")
+                    slots = shard * per + a + np.arange(len(table))
                     mine = (slots >= first) & (slots < last)
-                    yield emit(slots[mine], table[mine], (table[mine] != PAD).sum(1))
+                    if mine.any():
+                        yield emit(slots[mine], table[mine], (table[mine] != pad).sum(1))
 
     return files.mapInArrow(read, schema)
 
@@ -179,16 +216,13 @@ def sequences(spark: SparkSession, layout: Layout, first: int = 0, last: int | N
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, piece, slot, shard, offset, length, ids_crc32 (of the 16-bit ids) of every sequence as its shard holds it."""
+    """doc_id, piece, slot, shard, offset, length, ids_crc32 (of the ids as the shard holds them) of every sequence."""
     layout = materialise(docs, **options)
 
     def emit(slots, table, size):
         sums = [zlib.crc32(x[:n].tobytes()) for x, n in zip(table, size, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(size.astype(np.int64)), pa.array(sums, pa.int64())], names=["_slot", "length", "ids_crc32"])
 
-    if not layout.sequences:
-        return layout.index.select("doc_id", "piece", "slot", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
     read = read_slots(docs.sparkSession, layout, 0, layout.sequences, "_slot long, length long, ids_crc32 long", emit)
-    shard = F.floor(F.col("slot") / layout.per_shard).cast("long")
-    at = layout.offset(F.col("slot"))
-    return layout.index.join(read, F.col("slot") == F.col("_slot")).select("doc_id", "piece", "slot", shard.alias("shard"), at.alias("offset"), "length", "ids_crc32")
+    slot = F.col("slot")
+    return layout.index.join(read, slot == F.col("_slot")).select("doc_id", "piece", "slot", layout.shard(slot).alias("shard"), layout.offset(slot).alias("offset"), "length", "ids_crc32")

@@ -53,5 +53,26 @@ def op10_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.digests(table(spark, sf_dir, "documents"))
 
 
+def mixing_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1, in shards so small that every source has many."""
+    return mixing.mix(table(spark, sf_dir, "documents"), block_words=16, shard_words=2048)
+
+
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9, with a limit so small that buckets split to several depths."""
+    return sharding.shard(table(spark, sf_dir, "documents"), limit=1 << 16)
+
+
+def topk_small_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8, in blocks so small that most pairs of blocks fall under the bound."""
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.pmod("vec_id", F.lit(50)) == 0, query_block=4, block=64)
+
+
+def order_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, in shards so small that there are many."""
+    return ordering.digests(table(spark, sf_dir, "documents"), shard_bytes=1 << 16)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_quality, op4_rules, op5_suffix, op6_packing, op7_ppm, op8_topk, op9_sharding, op10_order)}
+    ten = (op1_mixing, op2_minhash, op3_quality, op4_rules, op5_suffix, op6_packing, op7_ppm, op8_topk, op9_sharding, op10_order)
+    return {f.__name__: f for f in (*ten, mixing_small_shards, sharding_small_limit, topk_small_blocks, order_small_shards)}

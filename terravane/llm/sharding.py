@@ -21,12 +21,13 @@ def shard(docs: DataFrame, limit: int = 64 << 20, seed: str = "shard") -> DataFr
     """doc_id, bytes, depth, shard, shard_bytes, shard_docs; shard is the bucket's prefix below a leading 1 bit.
 
     Every round counts cells of a few more bits, adds them up to all prefixes between, and gives each cell the shortest
-    prefix within the limit; only documents of cells that are still too large go on to the next round.
+    prefix within the limit; only documents of cells that are still too large go on to the next round. The first round has
+    about a cell a shard, so what is added up follows the number of shards, not of documents.
     """
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     live = stash(docs.select("doc_id", size.alias("bytes"), id_hash(seed, "doc_id").alias("_h")), "shard-sizes", gather=True)
     total = live.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4)
+    low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))))
     done = []
     while True:
         cells = live.groupBy(F.shiftright("_h", BITS - high).alias("_cell")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
@@ -40,7 +41,7 @@ def shard(docs: DataFrame, limit: int = 64 << 20, seed: str = "shard") -> DataFr
         rest = joined.where("_found is null").select(live.columns)
         if high == BITS or rest.isEmpty():
             break
-        live, low, high = stash(rest, "shard-rest"), high + 1, min(BITS, high + 8)
+        live, low, high = stash(rest, "shard-rest"), high + 1, min(BITS, high + 4)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -25,7 +25,9 @@ def _sainte_lague(name: str, source: str, group: str, order: str, weight: str, s
 {name} as (select g.*, sure_ + (select count(*) from {name}_r r where {same}r.{order.split()[0]} is not distinct from g.{order.split()[0]} and place_ <= r.free_) as {out} from {name}_f g)"""
 
 
-OP1_MIXING = f"""
+def mixing(block: int = 256, words: int = 131072, most: int = 65536) -> str:
+    """The mix with blocks of up to ``block`` words and shards of about ``words``."""
+    return f"""
 with sized as (select doc_id, source, {WORDS}::bigint as size, {id_hash('mix', 'doc_id')} as key from documents),
 s0 as (select source, sum(size)::bigint as source_size from sized group by source),
 s1 as (select *, [3.0::double, 1.0::double, 2.0::double][(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as weight, 2.0::double * source_size as cap from s0),
@@ -34,8 +36,8 @@ s3 as (select *, (1.5::double * (sum(source_size) over ())::double - coalesce(su
   / (sum(weight) over () - coalesce(sum(weight) over (order by rn rows between unbounded preceding and 1 preceding), 0)) as level from s2),
 s4 as (select *, (select arg_min(level, rn) from s3 where ratio >= level) as found from s3),
 s5 as (select source, source_size, least(cap, coalesce(weight * found, cap)) as target from s4),
-s6 as (select *, coalesce(least(256, greatest(1, floor((select min(target) from s5 where target > 0) / 64))), 1)::bigint as block,
-  least(4096, greatest(1, ceil(source_size / 131072.0::double)))::bigint as shards from s5),
+s6 as (select *, coalesce(least({block}, greatest(1, floor((select min(target) from s5 where target > 0) / 64))), 1)::bigint as block,
+  least({most}, greatest(1, ceil(source_size / {words}.0::double)))::bigint as shards from s5),
 s7 as (select *, round((select sum(target) from s5) / block)::bigint as blocks from s6),
 {_sainte_lague('s8', 's7', '', 'source asc nulls last', 'target', 'blocks', 'source_blocks')},
 rows_ as (select d.*, s.source_size, s.target, s.block, s.source_blocks, d.key % s.shards as shard from sized d join s8 s on d.source is not distinct from s.source),
@@ -50,12 +52,14 @@ select doc_id, source, size, source_size, target, shard::bigint as shard, ((take
   + greatest(0, least(end_, start + take % greatest(1, words) - words) - greatest(end_ - size, 0)))::bigint as taken from r
 """
 
-OP9_SHARDING = f"""
+def sharding(limit: int = 64 << 20) -> str:
+    """The shortest hash prefixes whose documents are within the limit."""
+    return f"""
 with d as (select doc_id, coalesce(strlen(text), 0)::bigint as bytes, {id_hash('shard', 'doc_id')} as h from documents),
 e as (select *, unnest(range(0, 61)) as depth from d),
 p as (select depth, h >> (60 - depth)::int as prefix, sum(bytes)::bigint as shard_bytes, count(*) as shard_docs, min(h) = max(h) as single from e group by 1, 2),
 m as (select e.doc_id, e.bytes, e.depth, prefix, shard_bytes, shard_docs, row_number() over (partition by e.doc_id, e.h order by e.depth) as nth
-  from e join p on e.depth = p.depth and e.h >> (60 - e.depth)::int = prefix where shard_bytes <= 67108864 or single)
+  from e join p on e.depth = p.depth and e.h >> (60 - e.depth)::int = prefix where shard_bytes <= {limit} or single)
 select doc_id, bytes, depth::int as depth, ((1::bigint << depth::int) + prefix)::bigint as shard, shard_bytes, shard_docs from m where nth = 1
 """
 
@@ -114,4 +118,7 @@ s as (select q.vec_id as query_id, c.vec_id, list_sum([x[1] * x[2] for x in list
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
-ORACLES = {"op1_mixing": OP1_MIXING, "op4_rules": OP4_RULES, "op8_topk": OP8_TOPK, "op9_sharding": OP9_SHARDING}
+ORACLES = {
+    "op1_mixing": mixing(), "op4_rules": OP4_RULES, "op8_topk": OP8_TOPK, "op9_sharding": sharding(),
+    "mixing_small_shards": mixing(16, 2048), "sharding_small_limit": sharding(1 << 16), "topk_small_blocks": OP8_TOPK,
+}

@@ -9,8 +9,6 @@ from __future__ import annotations
 import array
 import os
 import re
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
@@ -85,12 +83,22 @@ class Encoder:
         return out
 
 
+_held: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer; it outlives a task, so pieces stay known."""
-    state = sys.modules.setdefault("terravane_worker_state", types.ModuleType("terravane_worker_state"))
-    if getattr(state, "path", None) != path:
-        state.path, state.encoder = path, Encoder(path)
-    return state.encoder
+    """The process' encoder for a tokenizer; it outlives a task, so pieces stay known."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Encoder(path)
+    return _held[path]
+
+
+def largest_id(path: str) -> int:
+    """The largest id that the tokenizer can give."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
 
 
 def encoded(batches, path: str, end: int = END):

@@ -2,19 +2,19 @@
 
 Components are scaled and floored to integers, so scores are exact. The rotation by the corpus' singular vectors puts most of
 every product into its first components; what the rest can add is at most the product of the rests' lengths. Candidates are
-cut into blocks by falling length and queries into blocks of their own; a pair of blocks is one task's work, which stops at
-the first candidate whose length times the query's cannot reach the query's k-th best, looks at the first components, and
-computes whole scores only for candidates that the bound leaves.
-
-Edge cases: vectors that are null or hold null, NaN or infinite components take no part; vectors of another dimension than a
-query's share no product with it; equal scores go by smaller id; a query is never its own candidate, nor are rows repeated
-under its id; a repeated query id is one query (its least vector); fewer candidates than k give fewer ranks.
+cut into blocks by falling length. A first pass scores every query against the longest candidates, which sets a bar: the least
+length at which a candidate can still reach the query's k-th best. Queries are put in blocks by that length, and only pairs of
+blocks that pass it are made. A pair is one task's work, which stops at the first candidate under the bar, looks at the first
+components, and computes whole scores only for candidates that the bound leaves.
+
+Edge cases: vectors that are null or hold null, NaN or infinite components take no part; an empty vector has a product of 0 with
+other empty ones; vectors of another dimension than a query's share no product with it; equal scores go by smaller id; a query
+is never its own candidate, nor are rows repeated under its id; a repeated query id is one query (its least vector); fewer
+candidates than k give fewer ranks; components and scores beyond 64 bits stay at the largest number of their sign.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,21 +23,23 @@ from pyspark.sql import functions as F
 from .common import stash
 
 FIRST = 16
+LARGEST = 2.0**62
+SLACK = 1e-9  # of a bar, for rounding
 
 
 def usable(rows: DataFrame, scale: float) -> DataFrame:
     """id, dim, norm and v (little-endian 64-bit integers) of the vectors that take part."""
     given = F.col("vector")
-    sound = given.isNotNull() & (F.size(given) > 0) & F.forall(given, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    sound = given.isNotNull() & F.forall(given, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             size = np.diff(np.asarray(batch["vector"].offsets))
-            flat = np.floor(scale * np.asarray(batch["vector"].flatten())).astype(np.int64)
+            flat = np.clip(np.floor(scale * np.asarray(batch["vector"].flatten())), -LARGEST, LARGEST).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(size)])
-            norm = np.sqrt(np.add.reduceat((flat * flat).astype(float), ends[:-1]))
+            norm = np.sqrt(np.bincount(np.repeat(np.arange(len(size)), size), flat.astype(float) ** 2, len(size)))
             raw = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size.astype(np.int32)), pa.array(norm), pa.array(raw, pa.binary()), batch["is_query"]], names=["id", "dim", "norm", "v", "is_query"])
 
@@ -58,39 +60,63 @@ def gram(rows: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["dim", "g"])
 
     total: dict[int, np.ndarray] = {}
-    for r in rows.select("dim", "v").mapInArrow(run, "dim int, g binary").toLocalIterator():
+    for r in rows.where("dim > 0").select("dim", "v").mapInArrow(run, "dim int, g binary").toLocalIterator():
         total[r.dim] = total.get(r.dim, 0) + np.frombuffer(bytes(r.g)).reshape(r.dim, r.dim)
     return total
 
 
+def products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of rows with a vector; those beyond 64 bits stay at the largest number."""
+    if not c.size or float(np.abs(c).max()) * float(np.abs(q).max()) * len(q) < 2.0**62:
+        return c @ q
+    top = (1 << 63) - 1
+    return np.array([max(-top, min(top, sum(int(x) * int(y) for x, y in zip(row, q, strict=True)))) for row in c], np.int64)
+
+
 def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 1024, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query with all other rows."""
-    got = stash(usable(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null"), scale), "vectors")
-    rotations = {d: np.linalg.eigh(g)[1][:, ::-1] for d, g in gram(got).items()}
+    given = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    got = stash(usable(given.where("id is not null"), scale), "vectors")
+    rotations = {0: np.zeros((0, 0))} | {d: np.linalg.eigh(g)[1][:, ::-1] for d, g in gram(got).items()}
     turn = rows.sparkSession.sparkContext.broadcast(rotations)  # one dim x dim matrix for each dimension
-    sizes = got.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"))
-    sizes = sizes.select("dim", F.ceil(F.col("q") / query_block).alias("query_blocks"), F.ceil(F.col("n") / block).alias("blocks")).where("query_blocks > 0")
-
-    queries = got.where("is_query").groupBy("id", "dim").agg(F.min("v").alias("v")).join(sizes, "dim")
-    queries = queries.groupBy("dim", F.pmod(F.xxhash64("id"), F.col("query_blocks")).alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    # Longest first: blocks hold neighbours in length, so a whole block can fall under a query's bound.
-    cut = math.ceil(1e4)
-    step = got.groupBy("dim", F.floor(F.col("norm") * cut).alias("level")).agg(F.count("*").alias("_n"))
-    step = step.select("dim", "level", F.floor((F.sum("_n").over(Window.partitionBy("dim").orderBy(F.desc("level"))) - F.col("_n")) / block).alias("_b"), "_n")
+
+    # Longest first: blocks hold neighbours in length. Lengths are levels of a 64th of an octave, so what is ranked is few.
+    level = lambda x, parts: F.when(F.col(x) > 0, F.floor(F.log2(x) * parts)).otherwise(-9999).cast("int")
+    leveled = got.withColumn("level", level("norm", 64))
+    step = leveled.groupBy("dim", "level").agg(F.count("*").alias("_n"))
+    falling = Window.partitionBy("dim").orderBy(F.desc("level"))
+    step = step.select("dim", "level", F.floor((F.sum("_n").over(falling) - F.col("_n")) / block).alias("cb"), "_n")
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / block))
-    cands = got.withColumn("level", F.floor(F.col("norm") * cut)).join(step, ["dim", "level"]).groupBy("dim", F.col("_b").alias("cb"), part.alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    spread = cands.join(sizes, "dim").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    many = sum(r.query_blocks * r.blocks for r in sizes.toLocalIterator())  # a row a dimension
-    # Pairs are few and heavy: dealt out evenly, as their keys are too few to spread them.
-    pairs = spread.join(queries, ["dim", "qb"]).select("dim", "queries", "rows").repartition(int(min(10_000, max(1, many))))
+    packed = leveled.join(step, ["dim", "level"]).groupBy("dim", "cb", part.alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"), F.max("norm").alias("longest"))
+    cands = stash(packed.withColumn("lead", (F.col("cb") == 0) & (F.col("part") == 0)), "candidates")
+    queries = stash(got.where("is_query").groupBy("id", "dim").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "dim", "q.v", "q.norm"), "queries")
+    schema = "query_id long, vec_id long, score long"
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                d = batch["dim"][i].as_py()
-                yield best(batch["queries"][i].values, batch["rows"][i].values, turn.value[d], k)
-
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                yield best(batch["queries"][i].values, batch["rows"][i].values, turn.value[batch["dim"][i].as_py()], k)
+
+    # A first pass against one block of the longest candidates gives each query a bar, and so the least length it still needs.
+    sizes = queries.groupBy("dim").agg(F.ceil(F.count("*") / query_block).alias("_m"))
+    probes = queries.join(sizes, "dim").groupBy("dim", F.pmod(F.xxhash64("id"), F.col("_m")).alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    lead = stash(probes.join(cands.where("lead").select("dim", "rows"), "dim").select("dim", "queries", "rows").mapInArrow(run, schema), "leads")
+    bars = lead.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("found"))
+    least = F.when((F.col("found") >= k) & (F.col("bar") > 0) & (F.col("norm") > 0), (F.col("bar") * (1 - SLACK) - 1e-3) / F.col("norm"))
+    needed = queries.join(bars, F.col("id") == F.col("query_id"), "left").select("id", "dim", "v", F.coalesce(least, F.lit(0.0)).alias("least")).withColumn("level", level("least", 4))
+    # Blocks of queries are numbered by rising need, so a block of candidates meets a run of them from the first on.
+    step = needed.groupBy("dim", "level").agg(F.ceil(F.count("*") / query_block).alias("_m"))
+    step = stash(step.withColumn("_upto", F.sum("_m").over(Window.partitionBy("dim").orderBy("level"))), "needs")
+    number = F.col("_upto") - F.col("_m") + F.pmod(F.xxhash64("id"), F.col("_m"))
+    blocks = needed.join(step, ["dim", "level"]).groupBy("dim", number.alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    runs = F.broadcast(step.groupBy("dim").agg(F.collect_list(F.struct("level", "_upto")).alias("_runs")))  # a few hundred levels a dimension
+    meets = F.array_max(F.transform(F.filter("_runs", lambda x: x["level"] <= F.col("top")), lambda x: x["_upto"]))
+    spread = cands.where("not lead").withColumn("top", level("longest", 4)).join(runs, "dim").withColumn("_meets", meets).where("_meets > 0")
+    many = spread.agg(F.sum("_meets")).first()[0]
+    spread = spread.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_meets") - 1)))
+    # Pairs are few and heavy: dealt out evenly, as their keys are too few to spread them.
+    pairs = spread.join(blocks, ["dim", "qb"]).select("dim", "queries", "rows").repartition(min(10_000, many or 1))
+    near = lead.union(pairs.mapInArrow(run, schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -98,30 +124,30 @@ def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5,
 def best(queries: pa.StructArray, rows: pa.StructArray, rotation: np.ndarray, k: int) -> pa.RecordBatch:
     """The k best rows of one block for each query of another."""
     d = len(rotation)
-    read = lambda x: (np.asarray(x.field("id")), np.frombuffer(b"".join(x.field("v").to_pylist()), np.int64).reshape(-1, d))
+    read = lambda x: (np.asarray(x.field("id")), np.frombuffer(b"".join(x.field("v").to_pylist()), np.int64).reshape(len(x), d))
     (qid, q), (cid, c) = read(queries), read(rows)
-    norm = np.sqrt((c * c).sum(1).astype(float))
+    norm = np.sqrt((c.astype(float) ** 2).sum(1))
     order = np.lexsort((cid, -norm))
     cid, c, norm = cid[order], c[order], norm[order]
     turned_c, turned_q = c @ rotation, q @ rotation
     rest = lambda x: np.sqrt((x[:, FIRST:] ** 2).sum(1))
     rest_c, rest_q, head_c = rest(turned_c), rest(turned_q), np.ascontiguousarray(turned_c[:, :FIRST])
-    length_q = np.sqrt((q * q).sum(1).astype(float))
+    length_q = np.sqrt((q.astype(float) ** 2).sum(1))
     out: list[tuple] = []
     for i in range(len(qid)):
         own = np.flatnonzero(cid == qid[i])
         probe = np.setdiff1d(np.arange(min(len(cid), k + len(own))), own)
-        exact = c[probe] @ q[i]
+        exact = products(c[probe], q[i])
         bar = np.sort(exact)[-k] if len(exact) >= k else -np.inf
-        live = len(cid) if not length_q[i] or bar <= 0 else int(np.searchsorted(-norm, -(bar - 1e-3) / length_q[i], "right"))
+        live = len(cid) if not length_q[i] or bar <= 0 else int(np.searchsorted(-norm, -(bar * (1 - SLACK) - 1e-3) / length_q[i], "right"))
         upper = head_c[:live] @ turned_q[i, :FIRST] + rest_c[:live] * rest_q[i]
         # Raise the bar with the candidates that look best, then score all that may still reach it.
         if live > 8 * k:
             some = np.setdiff1d(np.argpartition(upper, -4 * k)[-4 * k :], own)
-            bar = max(bar, np.sort(c[some] @ q[i])[-k]) if len(some) >= k else bar
-        pick = np.setdiff1d(np.flatnonzero(upper >= bar - 1e-3 - 1e-9 * np.abs(upper)), own)
-        score = c[pick] @ q[i]
-        top = np.lexsort((cid[pick], -score))[: k + 0]
+            bar = max(bar, np.sort(products(c[some], q[i]))[-k]) if len(some) >= k else bar
+        pick = np.setdiff1d(np.flatnonzero(upper >= bar - 1e-3 - SLACK * (np.abs(upper) + norm[:live] * length_q[i])), own)
+        score = products(c[pick], q[i])
+        top = np.lexsort((cid[pick], -score))[:k]
         out += [(qid[i], x, s) for x, s in zip(cid[pick[top]].tolist(), score[top].tolist(), strict=True)]
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])

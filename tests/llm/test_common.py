@@ -1,12 +1,13 @@
 import glob
 
 from terravane.llm import common
+from terravane.sources import tables
 
 
 def test_sweep_removes_the_tables(spark):
     df = common.stash(spark.range(5), "five")
-    where = common.own_dir(spark).removeprefix("file://")
+    where = tables.own_folder(spark).removeprefix("file://")
     assert df.count() == 5 and glob.glob(f"{where}/five-*")
-    kept = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir")
+    kept = tables.shared_folder(spark)
     common.sweep(spark)
-    assert not glob.glob(f"{where}/*") and common.shared_dir(spark) == kept.rstrip("/")
+    assert not glob.glob(f"{where}/*") and tables.shared_folder(spark) == kept

@@ -4,17 +4,23 @@ import random
 import numpy as np
 import pytest
 
-from terravane.llm import components, neardup, suffix
+from terravane.llm import neardup, suffix
 
 from .conftest import prose, rows, SCHEMA, texts
 
 
-def shingles(t):
+def shingles(t, counted=True):
+    """Runs of five words, each occurrence an element of its own if counted."""
     w = (t or "").encode().split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    seen, out = {}, set()
+    for i in range(max(1, len(w) - 4) if w else 0):
+        run = tuple(w[i : i + 5])
+        seen[run] = seen.get(run, 0) + 1
+        out.add((run, seen[run] if counted else 1))
+    return frozenset(out)
 
 
-def classes(by_id, threshold=0.8):
+def classes(by_id, threshold=0.8, counted=True):
     ids = sorted(by_id)
     up = {i: i for i in ids}
 
@@ -23,7 +29,7 @@ def classes(by_id, threshold=0.8):
             x = up[x]
         return x
 
-    sets = {i: shingles(by_id[i]) for i in ids}
+    sets = {i: shingles(by_id[i], counted) for i in ids}
     for n, i in enumerate(ids):
         for j in ids[:n]:
             same = by_id[i] is not None and by_id[i] == by_id[j]
@@ -39,6 +45,19 @@ def test_classes_against_all_pairs(corpus, by_id):
     assert len(set(got.values())) < len(got)
 
 
+def test_weights_decide_links(spark):
+    """Texts that mostly repeat: alike as weighted sets, not as sets; and the other way round."""
+    rng = random.Random(5)
+    repeat, tail = "one two three four five six seven " * 100, [prose(rng, 12) for _ in range(2)]
+    base = prose(rng, 60)
+    out = [repeat + tail[0], repeat + tail[1], base, base + " " + base + " " + base, prose(rng, 90)]
+    docs = spark.createDataFrame(rows(out), SCHEMA)
+    for weights in ("count", "set"):
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, weights=weights).collect()}
+        assert got == classes(dict(enumerate(out)), counted=weights == "count")
+    assert classes(dict(enumerate(out)))[1] == 0 and classes(dict(enumerate(out)), counted=False)[3] == 2
+
+
 def test_large_groups_of_near_copies(spark):
     """Copies of one text with rising numbers of changed words: some link through others alone, some not at all."""
     rng = random.Random(3)
@@ -78,8 +97,8 @@ def test_near_duplicate_edges(spark, repeated, empty):
     got = neardup.near_duplicates(repeated).collect()
     assert len(got) == repeated.count()
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
-    counted = neardup.near_duplicates(repeated, weights="count").count()
-    assert counted == repeated.count()
+    plain = neardup.near_duplicates(repeated, weights="set").count()
+    assert plain == repeated.count()
 
 
 def test_keep_one(corpus, by_id):
@@ -102,10 +121,16 @@ def test_shared_and_null_ids(spark):
     assert len(kept) == 7 and sum(r == (None, None) for r in kept) == 2 and sum(r[1] in (c, near(c)) for r in kept) == 1
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r.node: r.label for r in components.components(links).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+def test_one_row_of_repeats_stays(spark):
+    """Equal rows, two alike texts under one id, and a text that only shares the id of a copy."""
+    rng = random.Random(10)
+    a, b = prose(rng, 120), prose(rng, 120)
+    given = [(1, a), (1, a), (5, a), (5, b), (6, b), (8, a + " end"), (8, a + " ends"), (2, None), (2, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    kept = sorted((tuple(r) for r in neardup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (2, None), (2, None)], key=str)
+    two = [tuple(r) for r in neardup.keep_one(docs.where("doc_id = 8")).collect()]
+    assert len(two) == 1 and two[0][0] == 8
 
 
 def cut(by_id, length=100):

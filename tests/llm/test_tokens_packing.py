@@ -113,9 +113,31 @@ def test_shards_round_trip(spark, corpus, by_id, whole, tmp_path):
     # A plain reader finds a slot from its offset.
     for r in ordering.digests(corpus, length=16, shard_bytes=5000).limit(50).collect():
         ids = want[r.doc_id, r.piece]
-        file = next((tmp_path / "order" / f"shard={r['shard']}").glob("*.txt"))
+        file = next((tmp_path / "order").glob(f"part-{r['shard']:05d}-*.txt"))
         raw = np.frombuffer(file.read_bytes()[r.offset : r.offset + 32], "<u2")
-        assert raw[: len(ids)].tolist() == ids and (raw[len(ids) :] == ordering.PAD).all() and r.length == len(ids)
+        assert raw[: len(ids)].tolist() == ids and (raw[len(ids) :] == 0xFFFF).all() and r.length == len(ids)
+    sizes = [f.stat().st_size for f in sorted((tmp_path / "order").glob("part-*.txt"))]
+    assert len(sizes) > 5 and set(sizes[:-1]) == {layout.per_shard * layout.stride} and sum(sizes) == layout.sequences * layout.stride
+
+
+def test_order_does_not_follow_splits(spark, corpus):
+    """Another number of partitions, another order of rows and other shuffle partitions give the same layout."""
+    want = {tuple(r) for r in ordering.digests(corpus, length=16, shard_bytes=5000).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {tuple(r) for r in ordering.digests(corpus.repartition(9).sortWithinPartitions("text"), length=16, shard_bytes=5000).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
+
+
+@pytest.mark.parametrize(("first", "last"), [(0, 0), (3, 7), (0, 123456), (99_990, 100_012), (19, 60_301), (100_000, 262_143)])
+def test_globs(first, last):
+    got = []
+    for g in ordering.globs(first, last):
+        k = g.count("[0-9]")
+        got += [g.replace("[0-9]", "") + (f"{i:0{k}d}" if k else "") for i in range(10**k)]
+    assert sorted(map(int, got)) == list(range(first, last + 1)) and all(f"{int(x):05d}" == x for x in got)
 
 
 def test_order_edges(repeated, empty):
