@@ -93,11 +93,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 4000
     known = labels.where(F.col(label).isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.min(label).alias("_label"))
     picked = known.orderBy(id_hash("quality", "doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "_id")), docs["doc_id"] == F.col("_id"))  # sample rows at most
-    bags, seen = [], []
-    for doc, text, y in sorted((r.doc_id, bytes(r.b), r._label) for r in rows.select("doc_id", text_bytes().alias("b"), "_label").toLocalIterator()):
-        bags.append(bag(text, options.get("bits", BITS)))
-        seen.append(y)
-    return train(bags, np.array(seen, np.float64), **options)
+    id_type, bits = docs.schema["doc_id"].dataType.simpleString(), options.get("bits", BITS)
+
+    def bags(batches):
+        for batch in batches:
+            found = [bag(x.as_py(), bits) for x in batch["b"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], *[pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]], names=["doc_id", "label", "at", "weight"])
+
+    # The driver is sent bags alone: 2**bits places at most, however long the text.
+    got = rows.select("doc_id", F.col("_label").cast("int").alias("label"), text_bytes().alias("b")).mapInArrow(bags, f"doc_id {id_type}, label int, at binary, weight binary")
+    seen = sorted((r.doc_id, bytes(r.at), bytes(r.weight), r.label) for r in got.toLocalIterator())
+    return train([(np.frombuffer(at, np.int32), np.frombuffer(w, np.float32)) for _, at, w, _ in seen], np.array([s[3] for s in seen], np.float64), **options)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -75,18 +75,16 @@ def _kinds() -> str:
     return ", ".join(f"{c}::bigint" for c in counts)
 
 
-_VOCABULARY = ", ".join(f"({i}, '{w}')" for i, w in enumerate(rules.VOCABULARY))
-_OTHER = len(rules.VOCABULARY)
-
-
-def _distance(name: str, cells: str) -> str:
-    """Jensen-Shannon distance of each document's histogram (doc_id, lang, i, n) from its language's."""
+def _distance(name: str, cells: str, many: int) -> str:
+    """Jensen-Shannon distance of each document's histogram (doc_id, lang, i, n) from that of the rest of its language."""
     return f"""
-{name}_r as (select lang, i, sum(n) as n from {cells} group by all), {name}_t as (select lang, sum(n) as t from {name}_r group by all),
-{name}_d as (select doc_id, any_value(lang) as lang, sum(n) as t from {cells} group by doc_id having sum(n) > 0),
-{name}_p as (select d.doc_id, coalesce(c.n, 0) / d.t::double as p, r.n / t.t::double as q from {name}_d d join {name}_r r on r.lang is not distinct from d.lang
-  join {name}_t t on t.lang is not distinct from d.lang left join {cells} c on c.doc_id = d.doc_id and c.i = r.i),
-{name} as (select doc_id, sqrt(greatest(0, sum(((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))) as d from {name}_p group by doc_id)"""
+{name}_r as (select c.lang, i, sum(n) as n from {cells} c join base using (doc_id) where not base_failed group by all), {name}_t as (select lang, sum(n) as t from {name}_r group by lang),
+{name}_d as (select doc_id, any_value(c.lang) as lang, sum(n) as t, any_value(base_failed) as bad from {cells} c join base using (doc_id) group by doc_id having sum(n) > 0),
+{name}_o as (select d.*, coalesce(tt.t, 0) - case when bad then 0 else d.t end as rest from {name}_d d left join {name}_t tt on tt.lang is not distinct from d.lang),
+{name}_p as (select d.doc_id, coalesce(c.n, 0) / d.t::double as p, (coalesce(r.n, 0) - case when bad then 0 else coalesce(c.n, 0) end) / nullif(rest, 0)::double as q from {name}_o d cross join range(0, {many}) k(i)
+  left join {name}_r r on r.lang is not distinct from d.lang and r.i = k.i left join {cells} c on c.doc_id = d.doc_id and c.i = k.i),
+{name} as (select doc_id, any_value(rest) as rest, case when any_value(rest) > 0 then sqrt(greatest(0, sum(((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end) + (case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end)) / 2))) end as d
+  from {name}_p join {name}_o using (doc_id) group by doc_id)"""
 
 
 OP4_RULES = f"""
@@ -96,24 +94,24 @@ g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from (select *, un
 h as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
 rep as (select doc_id, count(distinct hit) as n from (select doc_id, unnest(range(i, i + 5)) as hit from h) group by doc_id),
 lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
-voc(i, w) as (values {_VOCABULARY}),
+base as (select l.doc_id, len(w)::bigint as n_words, {_COUNT.format(r'[\x20\x09-\x0D]')}::bigint as word_chars, {_COUNT.format('[^#*$%&|<>]')}::bigint as n_symbols,
+  coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(w) < 10 or 100 * coalesce(rep.n, 0) > 20 * len(w) as base_failed
+  from l join docs using (doc_id) left join rep using (doc_id) left join lines using (doc_id)),
 said as (select doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from l),
-com as (select doc_id, any_value(lang) as lang, coalesce(voc.i, {_OTHER}) as i, count(*) as n from said left join voc using (w) group by doc_id, coalesce(voc.i, {_OTHER})),
+voc as (select lang, w, row_number() over (partition by lang order by n desc, w) - 1 as i from (select lang, w, count(*) as n from said join base using (doc_id) where not base_failed group by lang, w) qualify i < {rules.TOP}),
+com as (select doc_id, any_value(said.lang) as lang, coalesce(voc.i, {rules.TOP}) as i, count(*) as n from said left join voc on voc.lang is not distinct from said.lang and voc.w = said.w group by doc_id, coalesce(voc.i, {rules.TOP})),
 cls as (select doc_id, lang, unnest(range(0, 8)) as i, unnest([{_kinds()}]) as n from docs),
-{_distance('dc', 'cls')}, {_distance('dw', 'com')},
-b as (select l.doc_id, l.lang, len(w)::bigint as n_words, {_COUNT.format(r'[\x20\x09-\x0D]')}::bigint as word_chars, {_COUNT.format('[^#*$%&|<>]')}::bigint as n_symbols,
-  coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from l join docs using (doc_id) left join rep using (doc_id) left join lines using (doc_id)),
-j as (select b.*, dc.d as c, dw.d as w, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-  n_words >= 30 and t >= 1000 and (dc.d > 0.16::double + 0.8::double * (1 / sqrt(n_words)) or dw.d > 0.22::double + 1 / sqrt(n_words)) as strange
-  from b left join dc using (doc_id) left join dw using (doc_id) left join dw_t on dw_t.lang is not distinct from b.lang)
+{_distance('dc', 'cls', 8)}, {_distance('dw', 'com', rules.TOP + 1)},
+j as (select base.*, dc.d as c, dw.d as w, n_words >= 30 and dw.rest >= 1000 and (dc.d > 0.16::double + 0.8::double * (1 / sqrt(n_words)) or dw.d > 0.265::double + 1 / sqrt(n_words)) as strange
+  from base left join dc using (doc_id) left join dw using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(c, 6) as class_distance, round(w, 6) as common_distance,
   not base_failed and not coalesce(strange, false) as kept from j
 """
 
 OP8_TOPK = """
 with v as (select vec_id, [floor(256.0::double * x::double)::bigint for x in embedding] as e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_sum([x[1] * x[2] for x in list_zip(q.e, c.e)])::bigint as score
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, coalesce(list_sum([x[1] * x[2] for x in list_zip(q.e, c.e)]), 0)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """

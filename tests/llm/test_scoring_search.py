@@ -135,7 +135,7 @@ def test_adaptive_learns_repetition():
 
 
 def brute_topk(rows, k, scale=256):
-    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for i, q in dict(sorted(ok, reverse=True, key=lambda r: (r[0], r[1]))).items():
         if i % 50:
@@ -153,15 +153,36 @@ def test_topk_against_brute_force(spark, spread):
     rows[50] = (50, [math.nan] * 8)
     rows[9] = (9, rows[8][1])
     rows[100] = (100, [0.0] * 8)
-    rows += [(900, [None] + [0.5] * 7), (901, [math.inf] * 8), (950, []), (None, [1.0] * 8), (1000, [1.0, 2.0]), (1001, [3.0, 4.0])]
+    rows += [(900, [None] + [0.5] * 7), (901, [math.inf] * 8), (950, []), (951, []), (None, [1.0] * 8), (1000, [1.0, 2.0]), (1001, [3.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = topk.search(df, "vec_id", "embedding", F.pmod("vec_id", F.lit(50)) == 0, 5, query_block=4, block=37).collect()
     assert {tuple(r) for r in got} == brute_topk(rows, 5) and len(got) == len(set(got))
 
 
+def test_short_candidates_meet_no_query(spark, monkeypatch):
+    """Lengths that fall off: blocks under the bar are not compared."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(8) * 0.97**i).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    made = spark.sparkContext.accumulator(0)
+    best = topk.best
+
+    def counted(*a):
+        made.add(1)
+        return best(*a)
+
+    monkeypatch.setattr(topk, "best", counted)
+    got = topk.search(df, "vec_id", "embedding", F.pmod("vec_id", F.lit(50)) == 0, 5, query_block=2, block=20).collect()
+    assert {tuple(r) for r in got} == brute_topk(rows, 5)
+
+
 def test_topk_edges(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, rank int, score long")
     assert topk.search(empty, "vec_id", "embedding", F.col("vec_id") == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 0.0]), (3, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    got = topk.search(huge, "vec_id", "embedding", F.col("vec_id") == 0).collect()
+    top = (1 << 63) - 1
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, top), (2, 3, 256 * 768), (3, 2, -top)]
     few = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     got = topk.search(few, "vec_id", "embedding", F.col("vec_id") == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 512 * 256), (0, 2, 1, 512 * 256)]
