@@ -3,9 +3,11 @@
 Suffixes are ranked by growing prefixes and leave when their rank is unique: first sampled ones by ``gram`` bytes, then the
 pair of that rank and the rank of all bytes up to the next sample, and where that still leaves a choice every suffix by
 ``length`` bytes. Ranks are 64-bit names of strings, so tasks agree on them without a global numbering; equal strings are
-told by 96 bits. Positions travel packed by bucket and are sorted there; every task ranks its own rows first.
+told by 96 bits of hashes, not byte by byte. Positions travel packed by bucket and are sorted there; every task ranks its own
+rows first. ``plain`` ranks every position at doubled offsets instead, by joins alone; it gives the same rows and is there to
+hold the other against.
 
-Edge cases: a null text is empty; a null doc_id is the least; texts under ``length`` bytes never match; repeated rows of one
+Edge cases: doc_id is a number; a null text is empty; a null doc_id is the least; texts under ``length`` bytes never match; repeated rows of one
 doc_id and text stand at one place, so neither is earlier; very long texts are read in overlapping slices; an empty table
 gives no rows. Other columns do not matter.
 """
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -291,9 +293,34 @@ def rank_windows(source: DataFrame, open_: DataFrame, buckets: int, length: int,
     return both.mapInArrow(run, "bucket long, body binary").groupBy("bucket").applyInArrow(rank, FLAT)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole: bool = False) -> DataFrame:
+def doubled(source: DataFrame, length: int, first: int = 4) -> DataFrame:
+    """Runs of windows whose string also starts earlier, by plain prefix doubling: a position's rank is the least position of its string.
+
+    Pairs of ranks at growing offsets are ranked anew; what is unique leaves, and so does a position whose other half has left.
+    """
+    size = F.octet_length("b")
+    live = source.where(size >= length).select("doc_id", "version", size.alias("n"), "b", F.explode(F.sequence(F.lit(0), size - 1)).alias("low"))
+    live = live.select("doc_id", "version", "n", "low", F.expr(f"substring(b, low + 1, {first})").alias("left"), F.lit(None).cast("int").alias("right"))
+    have = first
+    while True:
+        every = Window.partitionBy("left", "right")
+        ranked = live.select("doc_id", "version", "n", "low", F.min(F.struct("doc_id", "low")).over(every).alias("rank"), F.count("*").over(every).alias("many"))
+        ranked = stash(ranked.where("many > 1").drop("many"), "ranks")
+        if have == length:
+            break
+        step = min(have, length - have)
+        there = ranked.select("doc_id", "version", (F.col("low") - step).alias("low"), F.col("rank").alias("right"))
+        live = ranked.withColumnRenamed("rank", "left").join(there, ["doc_id", "version", "low"], "left").where(F.col("right").isNotNull() | (F.col("low") + step >= F.col("n")))
+        have += step
+    later = ranked.where((F.col("low") <= F.col("n") - length) & (F.struct("doc_id", "low") > F.col("rank")))
+    return later.select("doc_id", "version", F.shiftleft(F.col("low").cast("long"), 24).alias("item"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, whole: bool = False, plain: bool = False) -> DataFrame:
     """doc_id, version, b (and row) and items: each text with the runs of its windows whose string also starts earlier (null: none)."""
     source = texts(docs)
+    if plain:
+        return per_document(texts(docs, whole), doubled(source, length), "left")
     total = source.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (32 << 20)))
     ranked = stash(rank_segments(source, buckets, length, gram, hot), "suffix-segments")
@@ -313,7 +340,7 @@ def cut_out(size: int, found: np.ndarray, length: int) -> tuple[np.ndarray, int]
     return ~gone, spans
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def digests(docs: DataFrame, length: int = LENGTH, plain: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
 
     def run(batches):
@@ -332,7 +359,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids = pa.compute.if_else(pa.compute.equal(batch["doc_id"], -(1 << 63)), None, batch["doc_id"])
             yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return repeats(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs, length, plain=plain).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -158,6 +158,10 @@ def test_repeats_against_brute_force(corpus, by_id):
     assert got == cut(by_id) and sum(r[1] for r in got.values()) > 1000
 
 
+def test_plain_doubling_gives_the_same(corpus, by_id):
+    assert digest(corpus, plain=True) == cut(by_id)
+
+
 @pytest.mark.parametrize("hot", [1, 2])
 def test_repeats_with_hot_names(spark, hot, monkeypatch):
     """A passage of over 100 bytes inside most documents, spread by segment and window instead of by its name."""
@@ -166,7 +170,7 @@ def test_repeats_with_hot_names(spark, hot, monkeypatch):
     out = [prose(rng, rng.randint(0, 30)) + passage[rng.randint(0, 9) :] + prose(rng, rng.randint(0, 30)) for _ in range(60)]
     docs = spark.createDataFrame(rows(out), SCHEMA).repartition(5)
     found = suffix.repeats
-    monkeypatch.setattr(suffix, "repeats", lambda d, length, **k: found(d, length, hot=hot, **k))
+    monkeypatch.setattr(suffix, "repeats", lambda d, length, **k: found(d, length, **k | {"hot": hot}))
     monkeypatch.setattr(suffix, "HOT", hot)
     assert digest(docs) == cut(dict(enumerate(out)))
 
