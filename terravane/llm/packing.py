@@ -1,9 +1,9 @@
 """Best-fit packing by exact-complement hashing over the histogram of piece lengths.
 
 A plan is made from counts by length alone (``capacity`` numbers, whatever the size of the corpus): the longest length left
-opens a sequence, the gap is looked up among the sums of one, two and three available lengths, and a combination that fills
-it exactly is used as often as its counts allow; gaps that nothing fills exactly take the longest length that fits. Pieces
-then find their place by their rank among the pieces of their length.
+opens a sequence, the gap is looked up in indexes of the sums of one, two and three lengths, and a combination that fills it
+exactly is used as often as the counts of its lengths allow; gaps that nothing fills exactly take the longest length that fits
+(best fit). Pieces then find their place by their rank among the pieces of their length.
 
 Edge cases: a null or empty text is one piece of length 1; longer documents alone are cut; pieces of equal length are ranked
 by doc_id and piece, repeated rows in any order; an empty table gives no rows. Other columns do not matter.
@@ -12,6 +12,7 @@ by doc_id and piece, repeated rows in any order; an empty table gives no rows. O
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +25,72 @@ from .tokens import pieces
 CAPACITY = 4096
 
 
-class Lengths:
-    """How many pieces of each length are left, and which one, two or three of them sum to a gap."""
+class Sums:
+    """Counts of lengths that are left, and indexes from a sum to the one, two or three lengths that make it.
+
+    An index's entries for a sum are listed when it is first asked for, best last, and go once their counts are used up:
+    counts only fall. ``used`` holds what the sequence at hand has taken already.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts.astype(np.int64)
-
-    def single(self, gap: int, used: dict) -> tuple | None:
-        return (gap,) if 0 < gap < len(self.left) and self.left[gap] > used.get(gap, 0) else None
-
-    def pair(self, gap: int, used: dict) -> tuple | None:
-        a = np.arange((gap + 1) // 2, min(gap, len(self.left)))
-        if not len(a):
-            return None
-        free = self.left
-        if used:
-            free = self.left.copy()
-            for k, n in used.items():
-                free[k] -= n
-        ok = (free[a] > 0) & (free[gap - a] > (2 * a == gap))
-        at = int(ok.argmax())
-        if not ok[at]:
-            return None
-        at = len(a) - 1 - int(ok[::-1].argmax())
-        return int(a[at]), gap - int(a[at])
-
-    def triple(self, gap: int, used: dict) -> tuple | None:
-        some = np.flatnonzero(self.left[: max(0, gap - 1)])
-        for a in some[::-1].tolist():
-            if 3 * a < gap:
-                return None
-            if self.left[a] <= used.get(a, 0):
-                continue
-            if found := self.pair(gap - a, used | {a: used.get(a, 0) + 1}):
+        self.left = counts.astype(np.int64).tolist()
+        self.lengths = np.flatnonzero(counts)
+        self.alive = self.lengths.tolist()
+        self.pairs: dict[int, list[int]] = {}  # sum: the larger of two lengths
+        self.triples: dict[int, list[int]] = {}  # sum: the largest of three lengths
+
+    def free(self, n: int, used: dict) -> int:
+        return self.left[n] - used.get(n, 0) if 0 < n < len(self.left) else 0
+
+    def single(self, total: int, used: dict) -> tuple | None:
+        return (total,) if self.free(total, used) > 0 else None
+
+    def pair(self, total: int, used: dict, most: int | None = None) -> tuple | None:
+        if total not in self.pairs:
+            a = self.lengths[np.searchsorted(self.lengths, (total + 1) // 2) : np.searchsorted(self.lengths, total)]
+            self.pairs[total] = a[np.isin(total - a, self.lengths, assume_unique=True)].tolist()
+        held = self.pairs[total]
+        while held and not self.both(held[-1], total - held[-1], {}):
+            held.pop()
+        dead = 0
+        for a in reversed(held):
+            if (most is None or a <= most) and self.both(a, total - a, used):
+                return a, total - a
+            dead += not self.both(a, total - a, {})
+        if 2 * dead > len(held):
+            self.pairs[total] = [a for a in held if self.both(a, total - a, {})]
+        return None
+
+    def both(self, a: int, b: int, used: dict) -> bool:
+        return self.free(a, used) > (a == b) and self.free(b, used) > 0
+
+    def triple(self, total: int, used: dict) -> tuple | None:
+        if total not in self.triples:
+            self.triples[total] = self.lengths[np.searchsorted(self.lengths, -(-total // 3)) : np.searchsorted(self.lengths, total - 1)].tolist()
+        held = self.triples[total]
+        while held and not self.left[held[-1]]:
+            held.pop()
+        for a in reversed(held):
+            if self.free(a, used) > 0 and (found := self.pair(total - a, used | {a: used.get(a, 0) + 1}, a)):
                 return (a, *found)
+        # Nothing makes the sum now: of its entries only those stay that a later sequence, which has taken others, may use.
+        self.triples[total] = [a for a in held if self.left[a] and self.pairs.get(total - a, True)]
         return None
 
     def largest(self, most: int, used: dict) -> int:
-        for a in np.flatnonzero(self.left[: most + 1])[::-1].tolist():
-            if a and self.left[a] > used.get(a, 0):
-                return a
-        return 0
+        i = bisect_right(self.alive, most) - 1
+        while i >= 0 and self.free(self.alive[i], used) <= 0:
+            i -= 1
+        return self.alive[i] if i >= 0 else 0
+
+    def take(self, used: dict) -> int:
+        """How often a sequence of these lengths can be made; all of them are taken."""
+        times = min(self.left[k] // n for k, n in used.items())
+        for k, n in used.items():
+            self.left[k] -= n * times
+            if not self.left[k]:
+                del self.alive[bisect_left(self.alive, k)]
+        return times
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -72,14 +98,14 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
 
     Each step uses up at least one length, but for what a length's own multiples leave, so steps follow the capacity.
     """
-    lengths, out = Lengths(counts), []
+    sums, out = Sums(counts), []
     for first in range(capacity, 0, -1):
-        while lengths.left[first] > 0:
+        while sums.left[first] > 0:
             chosen, used, gap = [first], {first: 1}, capacity - first
             while gap:
-                fill = lengths.single(gap, used) or lengths.pair(gap, used) or lengths.triple(gap, used)
+                fill = sums.single(gap, used) or sums.pair(gap, used) or sums.triple(gap, used)
                 if not fill:
-                    best = lengths.largest(gap, used)
+                    best = sums.largest(gap, used)
                     fill = (best,) if best else None
                 if not fill:
                     break
@@ -87,10 +113,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
                     chosen.append(n)
                     used[n] = used.get(n, 0) + 1
                     gap -= n
-            times = min(int(lengths.left[k]) // n for k, n in used.items())
-            for k, n in used.items():
-                lengths.left[k] -= n * times
-            out.append((tuple(chosen), times))
+            out.append((tuple(chosen), sums.take(used)))
     return out
 
 
@@ -112,7 +135,8 @@ def runs(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...), which must be a table that rereads alike.
 
-    Ranks come from counts by (length, salt), so a length that many pieces share is ranked by many tasks.
+    Ranks come from counts by (length, salt), so a length that many pieces share is ranked by many tasks. A length has 4,096 salts
+    at most, whose sums one task adds up.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in cut.groupBy("length").count().collect():  # one number a length: capacity rows at most
