@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+from . import graph
 from .graph import distance2
 
 
@@ -24,24 +26,39 @@ def lloyd_step(points: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFr
     return assigned.select("i", "k", "d2"), means
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 100, starts: int = 5, seed: int = 1) -> DataFrame:
+def lloyd(points: DataFrame, centres: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(i, label): rounds from given centres (k, f) until no label changes, or ``rounds`` of them; a centre without points stays."""
+    centres, last = settle(centres.select("k", "f")), None
+    while rounds:
+        rounds -= 1
+        assigned, means = lloyd_step(points, centres)
+        assigned = settle(assigned)
+        if last is not None and assigned.join(last, "i").where(F.col("k") != F.col("label")).isEmpty():
+            break
+        last = assigned.select("i", F.col("k").alias("label"))
+        centres = settle(centres.join(means.withColumnRenamed("f", "_f"), "k", "left").select("k", F.coalesce("_f", "f").alias("f")))
+    return assigned.select("i", F.col("k").alias("label"))
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 1000, starts: int = 10, seed: int = 1) -> DataFrame:
     """(i, label): the best of several seeded runs."""
-    rows = points.select("i", array_to_vector("f").alias("features")).persist()
+    rows = settle(points.select("i", array_to_vector("f").alias("features")))
     models = [KMeans(k=k, maxIter=rounds, seed=seed + s).fit(rows) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(rows).select("i", F.col("prediction").alias("label"))
-    return out
+    return best.transform(rows).select("i", F.col("prediction").alias("label"))
 
 
 def spectral(matrix: DataFrame, k: int, most: int = 4000, seed: int = 1) -> DataFrame:
-    """(i, label): k-means over the leading eigenvectors of a symmetric weight matrix (i, j, w) of up to ``most`` rows.
+    """(i, label): k-means over the leading eigenvectors of a symmetric weight matrix (i, j, w).
 
-    Larger ones need a sampled graph: their eigenvectors do not fit one machine.
+    Up to ``most`` rows these are found on the driver, beyond that by subspace iteration over the table.
     """
     spark = matrix.sparkSession
     ids = [r.i for r in matrix.select("i").distinct().orderBy("i").limit(most + 1).collect()]
     if len(ids) > most:
-        raise ValueError(f"spectral takes graphs of up to {most} nodes")
+        rows = graph.leading(matrix, k, tolerance=1e-6, seed=seed)[1]
+        size = F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x))
+        return kmeans(rows.select("i", F.transform("f", lambda x: x / F.greatest(size, F.lit(1e-300))).alias("f")), k, seed=seed)
     at = {x: n for n, x in enumerate(ids)}
     w = np.zeros((len(ids), len(ids)))
     for r in matrix.toLocalIterator():

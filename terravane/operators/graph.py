@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 BLOCK = 2048
 
 
@@ -19,10 +21,10 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, block:
     blocks; every query block meets every point block in a task of its own, which keeps k rows a query.
     """
     queries = points if queries is None else queries
-    packed = lambda df, name: _blocks(df, block).select(F.col("block").alias(f"{name}_block"), F.struct("i", "f", "offset").alias(name))
-    left, right = packed(queries, "query"), packed(points, "point")
-    n = right.count()
-    tasks = left.withColumn("point_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n else left.withColumn("point_block", F.lit(0).cast("long"))
+    many = max(1, math.ceil(points.count() / block))
+    packed = lambda df, n, name: _blocks(df, n).select(F.col("block").alias(f"{name}_block"), F.struct("i", "f", "offset").alias(name))
+    left, right = packed(queries, max(1, math.ceil(queries.count() / block)), "query"), packed(points, many, "point")
+    tasks = left.withColumn("point_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
     pairs = tasks.join(right, "point_block").select("query", "point")
 
     def run(batches):
@@ -47,14 +49,10 @@ def nearest(points: DataFrame, k: int, queries: DataFrame | None = None, block:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", "rank", (F.col("d") * F.col("d")).alias("d2"))
 
 
-def _blocks(df: DataFrame, block: int) -> DataFrame:
-    """Rows packed into blocks of about ``block``: ids, one array of all components, offsets."""
-    n = df.count()
-    many = max(1, math.ceil(n / block))
+def _blocks(df: DataFrame, many: int) -> DataFrame:
+    """Rows packed by hash into ``many`` blocks, some of which may stay empty: ids, one array of all components, offsets."""
     rows = df.select(F.col("i").cast("long").alias("i"), "f", (F.col("offset") if "offset" in df.columns else F.lit(0.0)).cast("double").alias("offset"))
     lists = rows.groupBy(F.pmod(F.xxhash64("i"), F.lit(many)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "f", "offset"))).alias("rows"))
-    # Hash blocks may stay empty, so they are numbered anew.
-    lists = lists.withColumn("block", (F.row_number().over(Window.orderBy("block")) - 1).cast("long"))
 
     def pack(batches):
         for batch in batches:
@@ -136,21 +134,70 @@ def suggested_steps(n: int, dimension: float) -> int:
     return int(dimension * n ** (1 / dimension)) if dimension else 1
 
 
+def leading(weight: DataFrame, k: int, rounds: int = 300, tolerance: float = 1e-9, seed: int = 1) -> tuple[list[float], DataFrame]:
+    """The k largest eigenvalues of D**-1/2 W D**-1/2, and (i, f): each row of their vectors. W (i, j, w) is symmetric, of any size.
+
+    Subspace iteration: the matrix times k columns, which are made orthonormal again through their k x k products; these alone
+    come to the driver. The diagonal is raised so that the largest eigenvalues are the largest by size.
+    """
+    scale = settle(weight.groupBy("i").agg(F.sum("w").alias("d")).select("i", (1 / F.sqrt(F.greatest("d", F.lit(1e-300)))).alias("d")))
+    left, right = scale.withColumnRenamed("d", "dl"), scale.select(F.col("i").alias("j"), F.col("d").alias("dr"))
+    matrix = settle(weight.join(left, "i").join(right, "j").select("i", "j", (F.col("w") * F.col("dl") * F.col("dr")).alias("w")))
+    unit = lambda c: (F.pmod(F.xxhash64("i", F.lit(c), F.lit(seed)), F.lit(1 << 20)) / float(1 << 19)) - 1.0
+    x, values = settle(scale.select("i", F.array(*[unit(c) for c in range(k)]).alias("f"))), None
+
+    def grams(rows: DataFrame, other: str) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((k, k))
+            for batch in batches:
+                a, b = (np.array(batch[c].to_pylist()).reshape(-1, k) for c in ("f", other))
+                total += a.T @ b
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
+
+        return sum((np.frombuffer(bytes(r.g)).reshape(k, k) for r in rows.select("f", *({other} - {"f"})).mapInArrow(run, "g binary").toLocalIterator()), np.zeros((k, k)))
+
+    def turned(rows: DataFrame, by: np.ndarray) -> DataFrame:
+        rows_of = [F.array(*[F.lit(float(v)) for v in by[:, c]]) for c in range(k)]
+        dot = lambda y: F.aggregate(F.zip_with("f", y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        return rows.select("i", F.array(*[dot(c) for c in rows_of]).alias("f"))
+
+    for _ in range(rounds):
+        x = settle(turned(x, np.linalg.inv(np.linalg.cholesky(grams(x, "f") + 1e-300 * np.eye(k))).T))
+        cells = matrix.join(x.withColumnRenamed("i", "j"), "j").select("i", F.posexplode("f").alias("at", "v"), "w").groupBy("i", "at").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+        y = settle(cells.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("y")).join(x, "i"))
+        now, basis = np.linalg.eigh((lambda t: (t + t.T) / 2)(grams(y, "y")))
+        now, basis = now[::-1], basis[:, ::-1]
+        if values is not None and np.abs(now - values).max() < tolerance:
+            break
+        values = now
+        x = settle(y.select("i", F.zip_with("y", "f", lambda p, q: (p + q) / 2).alias("f")))
+    else:
+        x = settle(turned(x, np.linalg.inv(np.linalg.cholesky(grams(x, "f"))).T))
+        return values.tolist(), x
+    return now.tolist(), settle(turned(y.select("i", "f"), basis))
+
+
 def estimate_steps(weight: DataFrame, most: int = 500) -> int:
-    """How many diffusion steps let the first eigenvalue under 0.9999 fade; the matrix must have ``most`` rows or fewer.
+    """How many diffusion steps let the first eigenvalue under 0.9999 fade.
 
-    The weight matrix is symmetric, so the diffusion matrix has the eigenvalues of D**-1/2 W D**-1/2.
+    The weight matrix is symmetric, so the diffusion matrix has the eigenvalues of D**-1/2 W D**-1/2. Up to ``most`` rows they
+    are found on the driver, beyond that by subspace iteration, with more vectors until one of the eigenvalues is under it.
     """
     ids = [r.i for r in weight.select("i").distinct().orderBy("i").limit(most + 1).collect()]
     if len(ids) > most:
-        raise ValueError(f"estimate_steps takes matrices of up to {most} rows; pass steps for larger ones")
-    at = {x: n for n, x in enumerate(ids)}
-    w = np.zeros((len(ids), len(ids)))
-    for r in weight.toLocalIterator():
-        w[at[r.i], at[r.j]] = r.w
-    d = 1 / np.sqrt(np.maximum(w.sum(0), 1e-300))
-    values = np.linalg.eigvalsh(d[:, None] * w * d[None])[::-1]
-    below = [x for x in values.tolist() if 0 < x < 0.9999]
+        k = 8
+        while True:
+            below = [x for x in leading(weight, k, tolerance=1e-6)[0] if 0 < x < 0.9999]
+            if below or k >= len(ids):
+                break
+            k = min(2 * k, len(ids))
+    else:
+        at = {x: n for n, x in enumerate(ids)}
+        w = np.zeros((len(ids), len(ids)))
+        for r in weight.toLocalIterator():
+            w[at[r.i], at[r.j]] = r.w
+        d = 1 / np.sqrt(np.maximum(w.sum(0), 1e-300))
+        below = [x for x in np.linalg.eigvalsh(d[:, None] * w * d[None])[::-1].tolist() if 0 < x < 0.9999]
     return max(abs(int(math.log(0.95 * below[0]) / math.log(below[0]))), 1) if below else 1
 
 

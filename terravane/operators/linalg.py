@@ -31,6 +31,12 @@ def inner(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("v", "w"), ["i", "j"]).agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("total"))
 
 
+def change(new: DataFrame, old: DataFrame, gradient: DataFrame) -> DataFrame:
+    """One row (total): the sum of (new - old) * gradient, what a step along the gradient has come to."""
+    moved = new.select("i", "j", "v").union(old.select("i", "j", (-F.col("v")).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return inner(moved, gradient)
+
+
 def error_term(powered_g: DataFrame, f: DataFrame, g: DataFrame) -> DataFrame:
     """(error): ||D - F G||**2 less ||D||**2, from F (n x r), G (r x n) and D G' (n x r), through r x r products alone."""
     ff, gg = product(transpose(f), f), product(g, transpose(g))

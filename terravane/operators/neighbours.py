@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +38,62 @@ def fill_sweep(pixel_region: DataFrame, removable: DataFrame) -> DataFrame:
     return kept.union(filled)
 
 
-def fill_holes(pixel_region: DataFrame, removable: DataFrame, most: int = 1000) -> DataFrame:
-    """Sweeps until no removable pixel is left or none can change."""
-    left = None
-    for _ in range(most):
-        n = pixel_region.join(removable, "region", "left_semi").count()
-        if n in (0, left):
-            break
-        left = n
-        pixel_region = settle(fill_sweep(pixel_region, removable))
-    return pixel_region
+def fill_sweeps(pixel_region: DataFrame, removable: DataFrame, sweeps: int = 64, tile: int = 256) -> DataFrame:
+    """As many sweeps as ``sweeps`` in one pass: a label comes no further than a pixel a sweep, so a square tile and a margin of
+    ``sweeps`` pixels around it hold all that decides its own pixels. Tiles without removable pixels are left as they are.
+
+    Removable pixels that still have their label stay removable; (r, c, region, gone).
+    """
+    if sweeps > tile:
+        raise ValueError("a margin is no wider than a tile")
+    gone = F.col("gone") if "gone" in pixel_region.columns else F.coalesce("_gone", F.lit(False))
+    marked = pixel_region if "gone" in pixel_region.columns else pixel_region.join(removable.select("region").distinct().withColumn("_gone", F.lit(True)), "region", "left")
+    marked = marked.select("r", "c", "region", gone.alias("gone"))
+    box = lambda x: F.floor(x / tile).cast("long")
+    own = marked.withColumn("tr", box(F.col("r"))).withColumn("tc", box(F.col("c")))
+    todo = own.where("gone").select("tr", "tc").distinct()
+    spread = marked
+    for x, t in (("r", "tr"), ("c", "tc")):
+        spread = spread.withColumn(t, F.explode(F.array_distinct(F.array(box(F.col(x) - sweeps), box(F.col(x)), box(F.col(x) + sweeps)))))
+    kind = pixel_region.schema["region"].dataType.simpleString()
+
+    def run(key, pdf):
+        tr, tc = key
+        top, left, side = tr * tile - sweeps, tc * tile - sweeps, tile + 2 * sweeps + 2
+        at = (pdf["r"].to_numpy() - top + 1).astype(int), (pdf["c"].to_numpy() - left + 1).astype(int)
+        here, hole = np.full((side, side), -1), np.zeros((side, side), bool)  # row of the label, and a rim without pixels
+        here[at], hole[at] = np.arange(len(pdf)), pdf["gone"].to_numpy()
+        known = (here >= 0) & ~hole
+        for _ in range(sweeps):
+            new = here.copy()
+            for step, axis in ((-1, 1), (1, 1), (-1, 0), (1, 0)):  # right, left, down, up: the later one wins
+                from_, ok = np.roll(here, step, axis), np.roll(known, step, axis) & hole
+                new[ok] = from_[ok]
+            done = hole & (new != here)
+            if not done.any():
+                break
+            here, hole, known = new, hole & ~done, known | done
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        mine = (r // tile == tr) & (c // tile == tc)
+        out = pdf[["r", "c"]][mine].copy()
+        out["region"] = pdf["region"].to_numpy()[here[at][mine]]
+        out["gone"] = hole[at][mine]
+        return out
+
+    kinds = {x: pixel_region.schema[x].dataType.simpleString() for x in "rc"}
+    filled = spread.join(todo, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(run, f"r {kinds['r']}, c {kinds['c']}, region {kind}, gone boolean")
+    return own.join(todo, ["tr", "tc"], "left_anti").select("r", "c", "region", "gone").union(filled)
+
+
+def fill_holes(pixel_region: DataFrame, removable: DataFrame, sweeps: int = 64) -> DataFrame:
+    """Sweeps until no removable pixel is left or none can change, ``sweeps`` of them in a pass."""
+    before, marked = None, pixel_region
+    while True:
+        marked = settle(fill_sweeps(marked, removable, sweeps))
+        left = marked.where("gone").count()
+        if left in (0, before):
+            return marked.select("r", "c", "region")
+        before = left
 
 
 def least_labels(edges: DataFrame) -> DataFrame:

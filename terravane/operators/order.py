@@ -29,5 +29,16 @@ def dense_index(df: DataFrame, order: list[str], out: str = "index") -> DataFram
 
 
 def cut_off(df: DataFrame, value: str, n: int) -> float | None:
-    """The n-th smallest value (the largest if there are fewer), ties counted as rows."""
-    return df.select(value).orderBy(value).limit(n).agg(F.max(value)).first()[0]
+    """The n-th smallest value (the largest if there are fewer), ties counted as rows.
+
+    Ranges of the value are counted first, so that only the range that holds it is put in order.
+    """
+    ranged = _ranged(df.select(value).where(F.col(value).isNotNull()), [value])
+    counts = sorted(ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect())  # a row a range
+    for r in counts:
+        if n <= r.n and r.low < r.high:
+            return ranged.where(F.col("_range") == r["_range"]).orderBy(value).limit(n).agg(F.max(value)).first()[0]
+        if n <= r.n:
+            return r.low
+        n -= r.n
+    return counts[-1].high if counts else None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import dense_index
+
 
 def inverted_index(pixel_region: DataFrame) -> DataFrame:
     """(region, n, pixels): every region's pixels in raster order."""
@@ -83,3 +85,27 @@ def value_at(pixels: DataFrame, r: int, c: int) -> DataFrame:
 def for_raster(pixel_region: DataFrame, raster: DataFrame) -> DataFrame:
     """The same regions over another raster: its values with the region of each pixel."""
     return raster.join(pixel_region, ["r", "c"])
+
+
+def crop(pixels: DataFrame, pixel_region: DataFrame, region: int) -> DataFrame:
+    """(tile_r, tile_c, values): the box of a region, with zeros in place of the pixels outside it; values are its columns but r and c."""
+    keep = [x for x in pixels.columns if x not in ("r", "c")]
+    box = boxes(pixel_region.where(F.col("region") == region))
+    cells = box.select("top", "left", F.explode(F.sequence("top", "bottom")).alias("r"), "right").select("top", "left", "r", F.explode(F.sequence("left", "right")).alias("c"))
+    mine = fetch(pixels, pixel_region, [region]).select("r", "c", *keep)
+    return cells.join(mine, ["r", "c"], "left").select((F.col("r") - F.col("top")).alias("tile_r"), (F.col("c") - F.col("left")).alias("tile_c"), *[F.coalesce(k, F.lit(0).cast(pixels.schema[k].dataType)).alias(k) for k in keep])
+
+
+def indexed(keys: DataFrame, order_by: list[str]) -> DataFrame:
+    """Keys with their dense index 0..n-1: both ways between a region's key and its index."""
+    return dense_index(keys, order_by)
+
+
+def histogram(pixel_region: DataFrame, least: int = 1) -> DataFrame:
+    """(region, n, active): pixels of each region, and whether there are ``least`` or more."""
+    return pixel_region.groupBy("region").agg(F.count("*").alias("n")).withColumn("active", F.col("n") >= least)
+
+
+def living(renames: DataFrame) -> DataFrame:
+    """(active): how many regions of (node, label) are still their own name."""
+    return renames.agg(F.count_if(F.col("node") == F.col("label")).alias("active"))

@@ -68,43 +68,69 @@ def quadtree(pixels: DataFrame, pixel_region: DataFrame, levels: int = 3) -> Dat
     return out
 
 
-def gabor(pixels: DataFrame, pixel_region: DataFrame, octaves: int = 2, bands: int = 2, frequency: float = 0.25, normalised: bool = False) -> DataFrame:
-    """(region, octave, direction, band, energy): squared responses of tiles to oriented filters, over pixels that a filter covers whole.
+def gabor_bank(octaves: int, jump: float, frequency: float, angle: float) -> list[tuple[int, int, float, float, float, float, int]]:
+    """(octave, direction, centre frequency, width along it, width across it, angle, size in pixels) of each filter.
 
-    A region's tile fits one task; FFT and erosion have no SQL form.
+    Half-magnitude contours of neighbours touch: ``jump`` octaves apart along the frequency, ``angle`` apart around it.
     """
+    along, across, half = (2**jump - 1) / (2**jump + 1), math.tan(angle / 2), math.sqrt(math.log(2) / math.pi)
+    step, out = (1 + along) / (1 - along), []
+    for octave in range(octaves):
+        f = frequency * step**octave
+        a, b = f * along / half, f * across / half
+        out += [(octave, d, f, a, b, d * angle, int(2 / min(a, b))) for d in range(int(math.pi / angle))]
+    return out
+
+
+def gabor_transform(shape: tuple[int, int], f: float, a: float, b: float, angle: float, size: int) -> np.ndarray:
+    """The filter's discrete Fourier transform over a shape: a Gaussian around its frequency, with the filter's middle as its origin."""
+    y, x = (np.fft.fftfreq(n) - f * g(angle) for n, g in zip(shape, (math.sin, math.cos), strict=True))
+    y = y[:, None]
+    u, v = x * math.cos(angle) + y * math.sin(angle), y * math.cos(angle) - x * math.sin(angle)
+    return np.exp(-math.pi * ((u / a) ** 2 + (v / b) ** 2) - 1j * math.pi * size * (x + y)) / (a * b)
+
+
+def eroded(mask: np.ndarray, size: int) -> np.ndarray:
+    """Pixels whose size x size neighbourhood lies in the mask, which is mirrored at its edges; an even one reaches further down and right."""
+    if size < 1:
+        return mask
+    before, after = (size - 1) // 2, size // 2
+    for axis in (0, 1):
+        pad = [(before, after) if k == axis else (0, 0) for k in (0, 1)]
+        wide = np.pad(mask, pad, "symmetric")
+        mask = np.lib.stride_tricks.sliding_window_view(wide, size, axis).all(-1)
+    return mask
+
+
+def gabor(pixels: DataFrame, pixel_region: DataFrame, octaves: int = 2, jump: float = 1.4, frequency: float = 0.03589, angle: float = 0.698132) -> DataFrame:
+    """(region, octave, direction, band, part, energy): summed squares of the real (part 0) and the imaginary (1) response of each
+    region's tile, zero outside the region, to a bank of oriented filters, over pixels that half a filter covers.
+
+    A region's tile fits one task; FFT and erosion have no short SQL form.
+    """
+    bank = gabor_bank(octaves, jump, frequency, angle)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        top, left = int(pdf["r"].min()), int(pdf["c"].min())
-        h, w = int(pdf["r"].max()) - top + 1, int(pdf["c"].max()) - left + 1
-        for band, rows in pdf.groupby("band"):
-            tile, mask = np.zeros((h, w)), np.zeros((h, w), bool)
-            tile[rows["r"] - top, rows["c"] - left] = rows["v"]
-            mask[rows["r"] - top, rows["c"] - left] = True
-            for octave in range(octaves):
-                f = frequency / 2**octave
-                sigma = 0.5 / f
-                half = max(1, math.ceil(2 * sigma))
-                y, x = np.mgrid[-half : half + 1, -half : half + 1]
-                shape = (h + 2 * half, w + 2 * half)
-                hole = np.fft.irfft2(np.fft.rfft2((~np.pad(mask, half)).astype(float), shape) * np.fft.rfft2(np.ones(x.shape), shape), shape)
-                inside = (hole[2 * half : 2 * half + h, 2 * half : 2 * half + w] if h and w else hole) < 0.5
-                for d in range(bands):
-                    angle = math.pi * d / bands
-                    along = x * math.cos(angle) + y * math.sin(angle)
-                    kernel = np.exp(-(x**2 + y**2) / (2 * sigma**2)) * np.exp(2j * math.pi * f * along)
-                    kernel -= kernel.mean()
-                    full = np.fft.ifft2(np.fft.fft2(np.pad(tile, half), shape) * np.fft.fft2(kernel, shape))
-                    part = full[2 * half : 2 * half + h, 2 * half : 2 * half + w]
-                    size = min(part.shape[0], h), min(part.shape[1], w)
-                    ok = inside[: size[0], : size[1]] & mask[: size[0], : size[1]]
-                    energy = np.abs(part[: size[0], : size[1]][ok]) ** 2
-                    out.append((pdf["region"].iloc[0], octave, d, band, float(energy.sum() / max(1, ok.sum() if normalised else 1))))
-        return pd.DataFrame(out, columns=["region", "octave", "direction", "band", "energy"])
+        at = (pdf["r"] - pdf["r"].min()).to_numpy(), (pdf["c"] - pdf["c"].min()).to_numpy()
+        h, w = int(at[0].max()) + 1, int(at[1].max()) + 1
+        mask = np.zeros((h, w), bool)
+        mask[at] = True
+        for band in sorted(pdf["band"].unique()):
+            pick = (pdf["band"] == band).to_numpy()
+            tile = np.zeros((h, w))
+            tile[at[0][pick], at[1][pick]] = pdf["v"].to_numpy()[pick]
+            for octave, d, f, a, b, theta, size in bank:
+                shape = (h + size - 1, w + size - 1)
+                full = np.fft.ifft2(np.fft.fft2(tile, shape) * gabor_transform(shape, f, a, b, theta, size))
+                skip = (size - 1) // 2
+                part = full[skip : skip + h, skip : skip + w][eroded(mask, size // 2)]
+                out += [(pdf["region"].iloc[0], octave, d, band, k, float((x**2).sum())) for k, x in enumerate((part.real, part.imag))]
+        return pd.DataFrame(out, columns=["region", "octave", "direction", "band", "part", "energy"])
 
     kind = pixel_region.schema["region"].dataType.simpleString()
-    return pixels.join(pixel_region, ["r", "c"]).select("region", "r", "c", "band", "v").groupBy("region").applyInPandas(run, f"region {kind}, octave int, direction int, band int, energy double")
+    rows = pixels.join(pixel_region, ["r", "c"]).select("region", "r", "c", "band", "v")
+    return rows.groupBy("region").applyInPandas(run, f"region {kind}, octave int, direction int, band int, part int, energy double")
 
 
 def arg_extreme(values: DataFrame, by: list[str], index: str, value: str, largest: bool) -> DataFrame:

@@ -36,11 +36,19 @@ FLAGS = (
     ("feature_space", str, "histogram_moments", ("histogram_moments", "gabor_filters", "quadtree")),
     ("moment_count", int, 5, None),
     ("gabor_octave_count", int, 2, None),
+    ("gabor_octave_jump", float, 1.4, None),
+    ("gabor_angle_sensitivity", float, 0.698132, None),
     ("gabor_lowest_central_freq", float, None, None),
     ("gabor_lowest_central_freq_ratio", float, 1.0, None),
     ("quadtree_number_of_levels", int, 3, None),
     ("steps", int, None, None),
     ("clusters", int, None, None),
+    ("precondition_runs", int, 25, None),
+    ("NMF_max_itter", int, 4000, None),
+    ("cutt_off", float, 1e-16, None),
+    ("r_guess_precondition_runs", int, 5, None),
+    ("total_NMF_boost_runs", int, 6, None),
+    ("boosting_calulation_runs", int, 5, None),
 )
 SWITCHES = ("output_features", "do_compression", "auto-scale", "show_SLIC_gui", "show_labels_gui", "enable_NMF_debug_vector")
 
@@ -73,7 +81,7 @@ def feature_options(args: argparse.Namespace, scale: float) -> dict:
         return {"count": args.moment_count}
     if args.feature_space == "quadtree":
         return {"levels": args.quadtree_number_of_levels}
-    return {"octaves": args.gabor_octave_count, "frequency": args.gabor_lowest_central_freq or args.gabor_lowest_central_freq_ratio / scale}
+    return {"octaves": args.gabor_octave_count, "jump": args.gabor_octave_jump, "angle": args.gabor_angle_sensitivity, "frequency": args.gabor_lowest_central_freq or args.gabor_lowest_central_freq_ratio / scale}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -89,7 +97,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     side = max(rows, cols)
     base = max(1, int(max(percent_or_absolute(x, side) for x in args.base_scale)))
     highest = percent_or_absolute(args.max_scale, side)
-    slic = SlicParams(args.m_base, args.m_scale, args.sigma, args.SLIC_max_itters, args.min_cluster_size, args.min_cluster_count or 1)
+    slic = SlicParams(args.m_base, args.m_scale, args.sigma, args.SLIC_max_itters, args.min_cluster_size, args.min_cluster_count or 1, args.total_runs)
     parts, nodes, node_atoms = hierarchical_superpixels(pixels, rows, cols, base, highest, slic)
     took = time.time() - began
     flat = pixels.select("r", "c", F.posexplode("v").alias("band", "v"))
@@ -111,7 +119,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             smoothing: str | float = float(args.smothing_factor)
         except ValueError:
             smoothing = args.smothing_factor
-        graph = GraphParams(args.knn, args.norm_type, smoothing, args.steps)
+        search = {"tries": args.precondition_runs, "most": args.NMF_max_itter, "stop": args.cutt_off}
+        graph = GraphParams(args.knn, args.norm_type, smoothing, args.steps, search, args.r_guess_precondition_runs, args.total_NMF_boost_runs, args.boosting_calulation_runs)
         out["labels"] = label_stack(nodes, node_atoms, describe, scales, method=args.clustering_algorithum, params=graph, k=args.clusters)
     meta = {"image_shape": f"{rows} {cols} 3", "SLIC_time": took, "total_time": time.time() - began}
     sinks.write_map(args.output_file, "zstd" if args.do_compression else "none", meta, **out)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ class SlicParams:
     most_rounds: int = 1000
     least_size: int = 25
     least_count: int = 1
+    runs: int = 1
 
 
 @dataclass(frozen=True)
@@ -28,11 +29,15 @@ class GraphParams:
     norm: str = "local"
     smoothing: str | float = "intrinsic dimensionality"
     steps: int | None = None
+    nmf: dict = field(default_factory=dict)  # tries, most, stop
+    guesses: int = 1
+    boost_runs: int = 6
+    boosts: int = 5
 
 
 def hierarchical_superpixels(pixels: DataFrame, rows: int, cols: int, base: int, highest: float, params: SlicParams = SlicParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pixel_region, nodes, node_atoms) of pixels (r, c, v array): superpixels of about base x base, merged up to tiles of ``highest``."""
-    parts = settle(slic.slic(pixels, rows, cols, base, params.m_base, params.most_rounds, params.least_size))
+    parts = settle(slic.slic(pixels, rows, cols, base, params.m_base, params.most_rounds, params.least_size, runs=params.runs))
     flat = pixels.select("r", "c", F.posexplode("v").alias("band", "v"))
     merges = settle(merge.multiscale(flat, parts, rows, cols, highest, params.m_scale, params.sigma, params.least_count))
     atoms = parts.select(F.col("region").alias("atom")).distinct()
@@ -57,7 +62,7 @@ def descriptors(pixels: DataFrame, pixel_region: DataFrame, space: str | Callabl
         grid = found.select("region").distinct().join(F.broadcast(every))  # nodes of a tree of fixed depth
         cells = grid.join(found, ["region", "node", "band"], "left").select("region", F.struct("node", "band").alias("at"), F.coalesce("value", F.lit(0.0)).alias("value"))
     elif space == "gabor_filters":
-        cells = stats.gabor(pixels, pixel_region, **options).select("region", F.struct("octave", "direction", "band").alias("at"), F.col("energy").alias("value"))
+        cells = stats.gabor(pixels, pixel_region, **options).select("region", F.struct("octave", "direction", "band", "part").alias("at"), F.col("energy").alias("value"))
     else:
         raise ValueError(f"unknown feature space: {space}")
     return cells.groupBy(F.col("region").alias("i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("f"))
@@ -74,19 +79,33 @@ def similarity(points: DataFrame, params: GraphParams = GraphParams()) -> tuple[
 
 
 def label(points: DataFrame, method: str = "kmeans", params: GraphParams = GraphParams(), k: int | None = None, seed: int = 1) -> DataFrame:
-    """(i, label) by kmeans, spectral, NMF or NMF-boosted; the number of clusters comes from the graph where it is not given."""
+    """(i, label) by kmeans, spectral, NMF or NMF-boosted; the number of clusters comes from the graph where it is not given.
+
+    Graphs of up to nmf.MOST rows are factorised on the driver, larger ones as tables.
+    """
+    if method not in ("kmeans", "spectral", "NMF", "NMF-boosted"):
+        raise ValueError(f"unknown method: {method}")
     if method == "kmeans" and k:
         return cluster.kmeans(points, k, seed=seed)
     weight, matrix, steps = similarity(points, params)
     if method == "spectral" and k:
         return cluster.spectral(weight, k, seed=seed)
-    ids, dense = nmf.collected(matrix)
+    nmf_options, large = params.nmf, points.count() > nmf.MOST
+    tables = {x: nmf_options[x] for x in ("most", "stop") if x in nmf_options}
+    if large and method in ("NMF", "NMF-boosted"):
+        g = nmf.factorise_tables(matrix, steps, seed=seed, **tables)[1] if method == "NMF" else nmf.boosted_tables(matrix, steps=steps, seed=seed, runs=params.boost_runs, boost=params.boosts, **tables)
+        return cluster.argmax_labels(g.select(F.col("i").alias("comp"), F.col("j").alias("i"), "v"))
+    if large:
+        k = 1 + nmf.start_tables(matrix, steps, seed).agg(F.max("j")).first()[0]
+    else:
+        ids, dense = nmf.collected(matrix)
     if method in ("kmeans", "spectral"):
-        k = nmf.start(dense, steps, seed=seed)[0].shape[1]
+        k = k or nmf.start(dense, steps, nmf_options.get("tries", 25), seed)[0].shape[1]
         return cluster.kmeans(points, k, seed=seed) if method == "kmeans" else cluster.spectral(weight, k, seed=seed)
-    if method not in ("NMF", "NMF-boosted"):
-        raise ValueError(f"unknown method: {method}")
-    _, g, _ = (nmf.projected if method == "NMF" else nmf.boosted)(dense, steps=steps, seed=seed)
+    if method == "NMF":
+        g = nmf.projected(dense, steps=steps, seed=seed, guesses=params.guesses, **nmf_options)[1]
+    else:
+        g = nmf.boosted(dense, runs=params.boost_runs, steps=steps, boost=params.boosts, seed=seed, guesses=params.guesses, **nmf_options)[1]
     return nmf.labels_of(points.sparkSession, ids, g)
 
 

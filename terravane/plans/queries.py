@@ -30,10 +30,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import planted  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import planted  # noqa: F401  adds its own
+
     return dict(SQL)
 
 
@@ -280,13 +284,15 @@ def hole_fill_fixed(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.fill_sweep(neighbours.fill_sweep(rasters.label_regions(spark, d), gone), gone).select("r", "c", "region")
 
 
-@query("""with recursive e as (select distinct o_custkey as a, l_suppkey + 1000000000 as b from orders join lineitem on l_orderkey = o_orderkey where l_quantity >= 50 and l_discount >= 0.09),
-two as (select a, b from e union select b, a from e), reach as (select a as n, a as m from two union select reach.n, two.b from reach join two on two.a = reach.m)
-select n as node, min(m) as label from reach group by n""")
+@query("""with n as (select n_nationkey, n_regionkey, min(c_custkey) as least from nation left join customer on c_nationkey = n_nationkey group by all),
+r as (select n_regionkey, coalesce(min(least), min(n_nationkey) + 1000000000)::bigint as label from n group by 1)
+select c_custkey as node, label from customer join nation on n_nationkey = c_nationkey join r using (n_regionkey) union all
+select n_nationkey::bigint + 1000000000, label from n join r using (n_regionkey) union all select n_regionkey::bigint + 2000000000, label from r""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    big = read(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09")
-    edges = read(spark, d, "orders").join(big, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
-    return neighbours.least_labels(edges)
+    """Customers to their nations, nations to their regions."""
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey").cast("long") + 1000000000).alias("b"))
+    nations = read(spark, d, "nation").select((F.col("n_nationkey").cast("long") + 1000000000).alias("a"), (F.col("n_regionkey").cast("long") + 2000000000).alias("b"))
+    return neighbours.least_labels(customers.union(nations))
 
 
 @query(f"""with {LABELS}, rows_ as (select distinct r, region from reg), g as (select r, region, r - row_number() over (partition by region order by r) as part from rows_),
@@ -554,7 +560,7 @@ def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     return cluster.lloyd_step(points, points.where("i < 8").select(F.col("i").alias("k"), "f"))[0].withColumn("d2", rounded("d2"))
 
 
-CENTRES = """cen as (select (r // 8) * 1000000 + c // 8 as k, avg(r) as r, avg(c) as c, avg(v[1]) as v1, avg(v[2]) as v2, avg(v[3]) as v3, avg(v[4]) as v4 from pw group by r // 8, c // 8)"""
+CENTRES = """cen as (select (r // 8) * 4294967296 + c // 8 as k, avg(r) as r, avg(c) as c, avg(v[1]) as v1, avg(v[2]) as v2, avg(v[3]) as v3, avg(v[4]) as v4 from pw group by r // 8, c // 8)"""
 ASSIGN = """s{1} as (select p.r, p.c, p.v, q.k, 400 * (((p.r - q.r) / 8.0::double) ** 2 + ((p.c - q.c) / 8.0::double) ** 2) + (v[1] - v1) ** 2 + (v[2] - v2) ** 2 + (v[3] - v3) ** 2 + (v[4] - v4) ** 2 as score from pw p
   join {0} q on abs(p.r // 8 - floor(q.r / 8)) <= 1 and abs(p.c // 8 - floor(q.c / 8)) <= 1 and abs(p.r - q.r) < 16 and abs(p.c - q.c) < 16),
 a{1} as (select r, c, v, k, score from (select *, row_number() over (partition by r, c order by score, k) as n from s{1}) where n = 1)"""
@@ -592,14 +598,9 @@ def geometric_scales(spark: SparkSession, d: str) -> DataFrame:
 # ---- searches and descents, which SQL does not express --------------------------------------------------------------
 
 
-@query()
-def gabor_energy(spark: SparkSession, d: str) -> DataFrame:
-    return stats.gabor(rasters.banded_raster(spark, d), rasters.tile_regions(spark, d))
-
-
 @query()
 def slic_full(spark: SparkSession, d: str) -> DataFrame:
-    return slic.slic(wide_pixels(spark, d), height(spark, d), 16, 8, most=8, least_size=12)
+    return slic.slic(wide_pixels(spark, d), height(spark, d), 16, 8, least_size=12)
 
 
 @query()
@@ -630,7 +631,7 @@ def dense_graph(spark: SparkSession, d: str) -> tuple[list, object]:
 @query()
 def nmf_labels(spark: SparkSession, d: str) -> DataFrame:
     ids, m = dense_graph(spark, d)
-    return nmf.labels_of(spark, ids, nmf.factorise(m, 3, tries=2, most=50)[1])
+    return nmf.labels_of(spark, ids, nmf.factorise(m, 3)[1])
 
 
 @query()
@@ -642,7 +643,7 @@ def nmf_projection(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def nmf_boosted(spark: SparkSession, d: str) -> DataFrame:
     ids, m = dense_graph(spark, d)
-    return nmf.labels_of(spark, ids, nmf.boosted(m, lambda x, steps, seed: nmf.factorise(x, steps, 2, 30, seed), 2, 3)[1])
+    return nmf.labels_of(spark, ids, nmf.boosted(m, steps=3)[1])
 
 
 @query()

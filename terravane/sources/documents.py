@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import settle
 
 KNOWN = {"scale", "list_of_atomic_superpixels", "children"}
 
@@ -23,34 +32,80 @@ def _atoms(node: dict) -> list[int]:
     return found
 
 
-def tree_tables(spark: SparkSession, roots: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, node_atoms, extra) of nested regions {scale, list_of_atomic_superpixels, children, further numeric fields}.
-
-    A node's name is its way from the root; extra is (node, name, value array). Missing and wrong fields raise.
-    """
-    nodes, atoms, extra, todo = [], [], [], [(str(i), None, x) for i, x in enumerate(roots)]
+def _walk(roots: list[dict], top: str = ""):
+    """(node, parent, scale, atoms, extra) of nested regions; a node's name is its way from the root."""
+    todo = [(f"{top}{i}", None, x) for i, x in enumerate(roots)]
     while todo:
         name, parent, node = todo.pop()
-        nodes.append((name, parent, _number(node.get("scale", 0.0), "scale")))
-        atoms += [(name, a) for a in _atoms(node)]
+        extra = []
         for k in sorted(set(node) - KNOWN):
             values = node[k] if isinstance(node[k], (list, tuple)) else [node[k]]
-            extra.append((name, k, [_number(v, k) for v in values]))
+            extra.append((k, [_number(v, k) for v in values]))
+        yield name, parent, _number(node.get("scale", 0.0), "scale"), _atoms(node), extra
         todo += [(f"{name}/{i}", name, x) for i, x in enumerate(node.get("children") or [])]
-    return (
-        spark.createDataFrame(nodes, "node string, parent string, scale double"),
-        spark.createDataFrame(atoms, "node string, atom long"),
-        spark.createDataFrame(extra, "node string, name string, value array<double>"),
-    )
 
 
-def stack_table(spark: SparkSession, stack: list[dict]) -> DataFrame:
-    """(scale, region, atom) of a list of {scale, label_map: [regions]}: one map a scale."""
-    rows = []
+NODE = "node string, parent string, scale double, atoms array<long>, extra array<struct<name: string, value: array<double>>>"
+
+
+def _tables(walked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    extra = walked.select("node", F.explode("extra").alias("e")).select("node", "e.name", "e.value")
+    return walked.select("node", "parent", "scale"), walked.select("node", F.explode("atoms").alias("atom")), extra
+
+
+def tree_tables(spark: SparkSession, roots: list[dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, node_atoms, extra) of nested regions {scale, list_of_atomic_superpixels, children, further numeric fields}.
+
+    A node's name is its way from the root; extra is (node, name, value array). Missing and wrong fields raise.
+    """
+    return _tables(spark.createDataFrame(list(_walk(roots)), NODE))
+
+
+FORESTS, MAPS, ATOMS = ("HSLIC", "texture_tree"), ("texture_lists",), ("atomic_SLIC_rle",)
+
+
+def load_region_map(spark: SparkSession, path: str, name: str):
+    """One entity of JSON documents (a file each), parsed where the files are read.
+
+    HSLIC and texture_tree give (nodes, node_atoms, extra), texture_lists gives (file, scale, region, atom), atomic_SLIC_rle
+    (file, run_no, run_length, value). In names of nodes the file comes first. Files without the entity and wrong fields raise.
+    """
+    if name not in (*FORESTS, *MAPS, *ATOMS):
+        raise ValueError(f"unknown entity: {name}")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    kinds = {k: NODE for k in FORESTS} | {k: "file string, scale double, region long, atom long" for k in MAPS} | {k: "file string, run_no long, run_length long, value long" for k in ATOMS}
+
+    def rows(file: str, found) -> list[tuple]:
+        if name in FORESTS:
+            return list(_walk(found, f"{file}:"))
+        if name in MAPS:
+            return [(file, *r) for r in _stack(found)]
+        if not all(isinstance(r, list) and len(r) == 2 and all(isinstance(x, int) for x in r) for r in found):
+            raise TypeError("runs must be pairs of integers")
+        return [(file, n, *r) for n, r in enumerate(found)]
+
+    def parse(batches):
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                document = json.loads(text)
+                if name not in document:
+                    raise KeyError(f"{file} has no {name}")
+                yield pd.DataFrame(rows(file, document[name]), columns=[c.split()[0] for c in kinds[name].replace("struct<name: string, value: array<double>>", "x").split(", ")])
+
+    found = files.mapInPandas(parse, kinds[name])
+    return _tables(settle(found)) if name in FORESTS else found
+
+
+def _stack(stack: list[dict]):
     for level in stack:
         for i, region in enumerate(level["label_map"]):
-            rows += [(_number(level["scale"], "scale"), i, a) for a in _atoms(region)]
-    return spark.createDataFrame(rows, "scale double, region long, atom long")
+            for a in _atoms(region):
+                yield _number(level["scale"], "scale"), i, a
+
+
+def stack_table(spark: SparkSession, stack: list[dict]) -> DataFrame:
+    """(scale, region, atom) of a list of {scale, label_map: [regions]}: one map a scale."""
+    return spark.createDataFrame(list(_stack(stack)), "scale double, region long, atom long")
 
 
 def nested_tree(nodes: DataFrame, node_atoms: DataFrame) -> list[dict]:
@@ -62,3 +117,26 @@ def nested_tree(nodes: DataFrame, node_atoms: DataFrame) -> list[dict]:
     for r in nodes.orderBy("node").toLocalIterator():
         (tree[r.parent]["children"] if r.parent is not None else roots).append(tree[r.node])
     return roots
+
+
+def external_labels(spark: SparkSession, paths: list[str], command: list[str], rows: int, cols: int) -> DataFrame:
+    """(file, r, c, region): what an outside program makes of image files, one run of it a file, on the executors.
+
+    The program is given the file and the path of the result that it must write: 32-bit little-endian numbers in raster order.
+    The files must be readable where the tasks run. A program that fails or writes another size fails its task.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for file in pdf["file"]:
+                with tempfile.TemporaryDirectory() as folder:  # for the life of the program alone
+                    out = f"{folder}/labels.dat"
+                    subprocess.run([*command, file, out], check=True)
+                    found = np.fromfile(out, "<i4")
+                if len(found) != rows * cols:
+                    raise ValueError(f"{len(found)} labels for {rows} x {cols} pixels")
+                at = np.arange(len(found))
+                yield pd.DataFrame({"file": file, "r": at // cols, "c": at % cols, "region": found.astype(np.int64)})
+
+    files = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, len(paths)))
+    return files.mapInPandas(run, "file string, r long, c long, region long")

@@ -41,7 +41,7 @@ def feature_lines(features: DataFrame, separator: str = ", ", missing: str = "<N
 
 def colours(region: str = "region") -> F.Column:
     """A fixed colour for each region, as 'red green blue'."""
-    h = F.col(region).cast("long") * 2654435761
+    h = F.pmod(F.col(region).cast("long"), F.lit(1 << 31)) * 2654435761
     part = lambda k: F.pmod(F.shiftright(h, k), F.lit(256)).cast("string")
     return F.concat_ws(" ", part(0), part(8), part(16))
 
