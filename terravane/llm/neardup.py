@@ -176,21 +176,25 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(compare, f"a {id_type}, b {id_type}, s double")
 
 
-def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, tile: int = 1 << 16) -> DataFrame:
+def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, tile: int = 1 << 18) -> DataFrame:
     """Links (a, b) between members of a bucket in different components that the star of its centre left open.
 
-    placed: band, node, n, s (similarity to the bucket's centre), component. A bucket's heaviest component needs no look at
-    itself: its members and those of all others are laid out in tiles of about ``tile`` shingles, and only pairs of tiles with
-    one of the others meet, each in a group of its own, which returns links alone. A pair is looked at in the first band it
-    shares, and only if its sizes and the triangle inequality of the Jaccard distance allow a link.
+    placed: band, node, n, s (similarity to the bucket's centre), component. A bucket of up to ``tile`` shingles is one group.
+    In a larger one the heaviest component needs no look at itself: its members and those of all others are laid out in tiles
+    of about ``tile`` shingles, and only pairs of tiles with one of the others meet, each in a group of its own. A group returns
+    links that join components and no more. A pair is looked at in the first band it shares, and only if its sizes and the
+    triangle inequality of the Jaccard distance allow a link.
     """
     id_type = nodes.schema["node"].dataType.simpleString()
     shares = placed.groupBy("band", "component").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     mixed = shares.groupBy("band").agg(F.max(F.struct("w", "component")).alias("home"), F.sum("w").alias("all"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1 and m > 2")
-    mixed = mixed.select("band", F.col("home.component").alias("home"), F.ceil((F.col("all") - F.col("home.w")) / tile).alias("others"), F.ceil(F.col("home.w") / tile).alias("tiles"))
+    small = F.col("all") <= tile
+    others, tiles = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("home.w")) / tile)), F.when(small, 0).otherwise(F.ceil(F.col("home.w") / tile))
+    mixed = mixed.select("band", F.col("home.component").alias("home"), others.cast("long").alias("others"), tiles.cast("long").alias("tiles"))
     h = F.xxhash64("node")
-    rows = placed.join(mixed, "band").withColumn("mine", F.when(F.col("component") == F.col("home"), F.col("others") + F.pmod(h, F.col("tiles"))).otherwise(F.pmod(h, F.col("others"))))
-    most = F.when(F.col("component") == F.col("home"), F.col("others")).otherwise(F.col("others") + F.col("tiles"))
+    at_home = (F.col("component") == F.col("home")) & (F.col("tiles") > 0)
+    rows = placed.join(mixed, "band").withColumn("mine", F.when(at_home, F.col("others") + F.pmod(h, F.col("tiles"))).otherwise(F.pmod(h, F.col("others"))))
+    most = F.when(at_home, F.col("others")).otherwise(F.col("others") + F.col("tiles"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
     rows = rows.select("band", F.least("mine", "j").alias("i"), F.greatest("mine", "j").alias("k"), "mine", "node", "n", "s", "component")
     rows = rows.join(nodes.select("node", "bands"), "node").join(sets.withColumnRenamed("id", "node"), "node")
@@ -208,9 +212,12 @@ def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
         held = np.concatenate([hashes[cut[y] : cut[y + 1]] for y in there] or [hashes[:0]])
         order = np.argsort(held, kind="stable")
         held, owner = held[order], owner[order]
+        # Links that join what earlier ones have joined say nothing new: each component goes by the one it has been joined to.
+        _, part = np.unique(t["component"], return_inverse=True)
+        joined = np.arange(part.max(initial=0) + 1)
         found: list[tuple] = []
         for x in np.flatnonzero(t["mine"] == i).tolist():
-            ok = (t["component"][there] != t["component"][x]) & (np.minimum(t["n"][there], t["n"][x]) >= threshold * np.maximum(t["n"][there], t["n"][x])) & (np.abs(t["s"][there] - t["s"][x]) <= apart)
+            ok = (joined[part[there]] != joined[part[x]]) & (np.minimum(t["n"][there], t["n"][x]) >= threshold * np.maximum(t["n"][there], t["n"][x])) & (np.abs(t["s"][there] - t["s"][x]) <= apart)
             if i == k:
                 ok &= there > x
             ok[ok] = bands[x][(bands[there[ok]] == bands[x]).argmax(1)] == band
@@ -221,8 +228,10 @@ def open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
             many = np.searchsorted(held, mine, "right") - low
             hits = np.bincount(owner[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(there))
             y = there[ok]
-            sure = hits[ok] >= threshold * (len(mine) + np.diff(cut)[y] - hits[ok])
-            found += [(min(t["node"][x], b), max(t["node"][x], b)) for b in t["node"][y[sure]]]
+            for other in y[hits[ok] >= threshold * (len(mine) + np.diff(cut)[y] - hits[ok])].tolist():
+                if joined[part[other]] != joined[part[x]]:
+                    joined[joined == joined[part[other]]] = joined[part[x]]
+                    found.append((min(t["node"][x], t["node"][other]), max(t["node"][x], t["node"][other])))
         return pa.table({"a": pa.array([a for a, _ in found], table["node"].type), "b": pa.array([b for _, b in found], table["node"].type)})
 
     return rows.groupBy("band", "i", "k").applyInArrow(links, f"a {id_type}, b {id_type}")
