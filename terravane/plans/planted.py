@@ -254,7 +254,7 @@ def descriptor_vectors(spark: SparkSession, d: str) -> DataFrame:
     return moments.union(own).withColumn("v", rounded("v"))
 
 
-BANK = stats.gabor_bank(2, 1.4, 0.25, math.pi / 3)
+BANK = stats.gabor_bank(2, 1.4, 0.25, math.pi / 2)
 _BANK = ", ".join(f"({o}, {k}, {f!r}::double, {a!r}::double, {b!r}::double, {math.cos(t)!r}::double, {math.sin(t)!r}::double, {s})" for o, k, f, a, b, t, s in BANK)
 
 
@@ -270,7 +270,7 @@ cv as (select p.region, octave, direction, p.band, p.y, p.x, sum(q.v * re) as re
   join kr using (octave, direction, h, w) where kr.dy = (p.y + (size - 1) // 2 - q.y + h + size - 1) % (h + size - 1) and kr.dx = (p.x + (size - 1) // 2 - q.x + w + size - 1) % (w + size - 1) group by all)
 select region, octave, direction, band::int as band, 0 as part, {R6.format('sum(re * re)')} as energy from cv group by all union all select region, octave, direction, band::int, 1, {R6.format('sum(im * im)')} from cv group by region, octave, direction, band""")
 def gabor_energy(spark: SparkSession, d: str) -> DataFrame:
-    found = stats.gabor(rasters.banded_raster(spark, d), rasters.tile_regions(spark, d), frequency=0.25, angle=math.pi / 3)
+    found = stats.gabor(rasters.banded_raster(spark, d), rasters.tile_regions(spark, d), frequency=0.25, angle=math.pi / 2)
     return found.select("region", "octave", "direction", F.col("band").cast("int").alias("band"), "part", rounded("energy").alias("energy"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +52,17 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(origin, r, c, band, v in 0..1) of image files: a gray image gives three equal bands, an alpha band is left out."""
     raw = spark.read.format("image").load(path).select("image.*")
-    rows = raw.select("origin", "width", "height", "nChannels", F.posexplode(F.split(F.regexp_replace(F.hex("data"), "(..)", "$1 "), " ")).alias("at", "byte")).where("byte <> ''")
-    value = F.conv("byte", 16, 10).cast("double") / 255.0
-    pixel, channel = F.floor(F.col("at") / F.col("nChannels")), F.pmod("at", F.col("nChannels"))
-    flat = rows.select("origin", F.floor(pixel / F.col("width")).alias("r"), F.pmod(pixel, F.col("width").cast("long")).cast("int").alias("c"), channel.alias("channel"), "nChannels", value.alias("v"))
-    # The reader stores blue, green, red.
-    bands = F.when(F.col("nChannels") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).when(F.col("channel") < 3, F.array(2 - F.col("channel")))
-    return flat.withColumn("band", F.explode(bands)).select("origin", "r", "c", "band", "v")
+
+    def run(batches):
+        for pdf in batches:
+            for x in pdf.itertuples():
+                if x.nChannels < 1:  # a file that is no image
+                    continue
+                cells = np.frombuffer(x.data, np.uint8).reshape(x.height, x.width, x.nChannels)
+                cells = np.repeat(cells, 3, 2) if x.nChannels == 1 else cells[:, :, 2::-1]  # the reader stores blue, green, red
+                for top in range(0, x.height, 256):
+                    part = cells[top : top + 256]
+                    r, c, band = (v.ravel() for v in np.indices(part.shape))
+                    yield pd.DataFrame({"origin": x.origin, "r": r + top, "c": c, "band": band, "v": part.ravel() / 255.0})
+
+    return raw.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "origin string, r long, c int, band int, v double")
