@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.llm import mixing, neardup, packing, rules, suffix
 from terravane.llm.common import stash
+from terravane.sources import tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each writes its result to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each writes its result to the shared folder for the next.
+
+    Once it is written, all tables of the stage itself and the result before it go.
+    """
+    docs, others = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(tables.written())
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        *used, _ = (path for path in tables.written() if path not in others)
+        tables.remove(spark, used)
     return STAGES[-1][1](spark, docs, sf_dir)

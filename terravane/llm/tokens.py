@@ -88,10 +88,12 @@ _held: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The process' encoder for a tokenizer; it outlives a task, so pieces stay known."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = Encoder(path)
-    return _held[path]
+    from terravane.llm.tokens import _held as held  # the module's own: a task's functions may come with copies of their globals
+
+    if path not in held:
+        held.clear()
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def largest_id(path: str) -> int:

@@ -5,6 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from terravane.llm import mixing, rules, tokens
+from terravane.sources import tables
 
 from ..conftest import DATA
 from .test_dedup import classes, cut
@@ -42,3 +43,24 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "suffix_dedup", "mix_sources", "pack_sequences"]
+
+
+def test_run_on_odd_tables(spark, corpus, repeated, empty, tmp_path):
+    """Nulls, empty texts, repeated rows and an empty table go through all stages; only the last stage's tables stay."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    corpus.union(repeated).select(columns).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    empty.select(columns).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ends = {}
+    for r in out:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert out and all(r.doc_id is not None for r in out if r.doc_id != 3)
+    for parts in ends.values():
+        place = 0
+        for offset, length in sorted(parts):
+            assert offset == place
+            place += length
+        assert place <= 4096
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    left = {p.rpartition("/")[2].rpartition("-")[0] for p in tables.written()}
+    assert not left & {"quality_rules", "near_dedup", "signatures", "suffix-segments", "mix-sizes"}
