@@ -9,13 +9,15 @@ Ids take two bytes, or four where the tokenizer has ids of 0xFFFF and more; the
 alone, so reruns agree whatever the files, splits, partitions and cores.
 
 Edge cases: a null or empty text is one sequence of the end id; a null doc_id comes first; a document longer than a sequence is
-cut, never shortened; repeated rows are sequences of their own, alike in all but their slots; an empty table gives an empty
-layout. Other columns do not matter.
+cut, never shortened; repeated rows are sequences of their own, alike in all but their slots, and are put in order by one task; an
+empty table gives an empty layout. Other columns do not matter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,11 +76,32 @@ class Layout:
         return (F.pmod(slot, F.lit(self.per_shard)) * self.stride).cast("long")
 
 
+def _key(x) -> tuple:
+    return (0, 0) if x is None else (1, x)
+
+
+def ranges(docs: DataFrame) -> tuple[list, list[int]]:
+    """Where ranges of doc_id start, as many as the session has shuffle partitions, and into how many parts each is cut.
+
+    Only doc_id is read. An id with over twice a range's share of the rows is a range of its own.
+    """
+    want = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = stash(docs.groupBy("doc_id").count(), "ids")
+    share = max(1.0, (ids.agg(F.sum("count")).first()[0] or 0) / want)
+    lows = ids.repartitionByRange(want, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low")).collect()  # a row a range
+    hot = {_key(r.doc_id): r["count"] for r in ids.where(F.col("count") > 2 * share).collect()}  # half as many as ranges at most
+    cuts = sorted({(_key(r.low), 0) for r in lows if r.low is not None} | {(k, side) for k in hot for side in (0, 1)})
+    subs = [1] * (len(cuts) + 1)
+    for k, n in hot.items():
+        subs[bisect_right(cuts, (k, 0))] = math.ceil(n / share)
+    return cuts, subs
+
+
 def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, tokenizer: str = "word_bpe_49k.json", end: int = END) -> Layout:
     """Write the shards below ``path`` (the shared folder by default); index: doc_id, piece, slot for every sequence.
 
-    Shards take ``shard_bytes``, or more where that would make over MOST_SHARDS of them. Texts are put in order before they
-    become ids, as the numbers must not depend on how the table is split.
+    Shards take ``shard_bytes``, or more where that would make over MOST_SHARDS of them. Ids are put in order of doc_id and text
+    before they are numbered, as the numbers must not depend on how the table is split.
     """
     spark, where = docs.sparkSession, tokenizer_path(tokenizer)
     path = path or new_path(spark, "training-order")
@@ -86,19 +109,30 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
     width = 2 if largest_id(where) < 0xFFFF else 4
     kind = f"<u{width}"
 
+    cuts, subs = ranges(docs)
+    base = np.concatenate([[0], np.cumsum(subs)]).tolist()
+
     def cut(batches):
-        task, local = TaskContext.get().partitionId(), 0
+        """Ids of whole texts, sent to their range of doc_id, where a hot doc_id has several by the hash of its texts."""
         for rows, ids in encoded(batches, where, end):
+            at = [bisect_right(cuts, (_key(x), 0)) for x in rows["doc_id"].to_pylist()]
+            to = [base[i] + ((v + (1 << 63)) * subs[i] >> 64) for i, v in zip(at, rows["v"].to_pylist(), strict=True)]
             many = np.array([-(-len(x) // (4 * length)) for x in ids], np.int64)
+            small = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), rows["v"], pa.array(many), rows["doc_id"], pa.array(small, pa.binary())], names=["task", "v", "many", "doc_id", "ids"])
+
+    def number(batches):
+        local = 0
+        for batch in batches:
+            many = np.asarray(batch["many"])
             before = local + np.cumsum(many) - many
             local += int(many.sum())
-            small = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), task, np.int32)), pa.array(before), pa.array(many), rows["doc_id"], pa.array(small, pa.binary())], names=["task", "before", "many", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["task"], pa.array(before), batch["many"], batch["doc_id"], batch["ids"]], names=["task", "before", "many", "doc_id", "ids"])
 
-    # Rows alike in doc_id and text may fall into any range, so that no range is hot: they are interchangeable.
-    rows = docs.select("doc_id", text_bytes().alias("b")).select("doc_id", F.xxhash64("b").alias("v"), F.monotonically_increasing_id().alias("any"), "b")
-    rows = rows.repartitionByRange("doc_id", "v", "any").sortWithinPartitions("doc_id", "v", "b")
-    tokens = stash(rows.select("doc_id", "b").mapInArrow(cut, f"task int, before long, many long, doc_id {id_type}, ids binary"), "sequences")
+    rows = docs.select("doc_id", text_bytes().alias("b")).select("doc_id", F.xxhash64("b").alias("v"), "b")
+    sent = rows.mapInArrow(cut, f"task int, v long, many long, doc_id {id_type}, ids binary").repartitionById(base[-1], "task")
+    ordered = sent.sortWithinPartitions("doc_id", "v", "ids").mapInArrow(number, f"task int, before long, many long, doc_id {id_type}, ids binary")
+    tokens = stash(ordered, "sequences")
     sums = {r.task: r.n for r in tokens.groupBy("task").agg(F.sum("many").alias("n")).collect()}  # a number for each task
     first = np.zeros(max(sums, default=-1) + 2, np.int64)
     first[1:] = np.cumsum([sums.get(t, 0) for t in range(len(first) - 1)])
@@ -130,7 +164,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 7, length:
                     held.setdefault(slots[j] // per_shard, []).append((slots[j], ids[a : a + width * length]))
                     j += 1
                 size += len(ids)
-            if size > 32 << 20:
+            if size > 16 << 20:
                 yield out()
                 held, size = {}, 0
         if held:

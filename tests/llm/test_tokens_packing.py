@@ -1,11 +1,13 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terravane.llm import ordering, packing, tokens
@@ -79,6 +81,53 @@ def test_plan_uses_every_piece_once(sizes):
     assert (used == counts).all()
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying all ways to fill them."""
+    sizes = sorted(sizes, reverse=True)
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, (*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]))
+        place(k + 1, (*bins, sizes[k]))
+
+    place(0, ())
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=11))
+def test_plan_is_close_to_the_fewest(sizes):
+    counts = np.bincount(sizes, minlength=25) if sizes else np.zeros(25, int)
+    least = fewest(sizes, 24)
+    assert least <= sum(t for _, t in packing.plan(counts, 24)) <= least + max(1, least // 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=25), st.integers(1, 40), st.lists(st.integers(1, 20), max_size=3))
+def test_indexes_find_what_there_is(sizes, total, taken):
+    """Against all choices of one, two and three lengths, also after other lookups and after pieces have gone."""
+    sums, left = packing.Sums(np.bincount(sizes, minlength=41)), Counter(sizes)
+    for n in range(1, 41):
+        sums.pair(n, {}), sums.triple(n, {})
+    for n in taken:
+        if left[n] > 0:
+            sums.take({n: left[n]})
+            left[n] = 0
+    rest = sorted(left.elements())
+    for k, find in ((1, sums.single), (2, sums.pair), (3, sums.triple)):
+        want = {tuple(sorted(c)) for c in itertools.combinations(rest, k) if sum(c) == total}
+        got = find(total, {})
+        assert (tuple(sorted(got)) in want) if want else got is None
+
+
 def test_plan_fills_gaps_exactly():
     rng = random.Random(4)
     sizes = []
@@ -121,10 +170,12 @@ def test_shards_round_trip(spark, corpus, by_id, whole, tmp_path):
 
 
 def test_order_does_not_follow_splits(spark, corpus):
-    """Another number of partitions, another order of rows and other shuffle partitions give the same layout."""
+    """Another number of partitions, another order of rows and other shuffle partitions give the same layout, hot ids too."""
+    corpus = corpus.union(corpus.withColumn("doc_id", F.lit(None).cast("long"))).union(corpus.withColumn("doc_id", F.lit(11).cast("long")))
     want = {tuple(r) for r in ordering.digests(corpus, length=16, shard_bytes=5000).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
+        assert max(ordering.ranges(corpus)[1]) > 1
         got = {tuple(r) for r in ordering.digests(corpus.repartition(9).sortWithinPartitions("text"), length=16, shard_bytes=5000).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
