@@ -324,7 +324,7 @@ def factor_searches(spark: SparkSession, d: str) -> DataFrame:
     part = {r.n_nationkey: r.n_regionkey for r in read(spark, d, "nation").collect()}
     start = nmf.start(m, 2)
     f0 = nmf.start_tables(matrix, 2)
-    tables = nmf.factorise_tables(matrix, 2, most=3)
+    tables = nmf.factorise_tables(matrix, 2, most=1)
     dense = lambda x, n, r, turn: _dense(x, ids, n, r, turn)
     r0, r1 = (1 + x.agg(F.max("j")).first()[0] for x in (f0, tables[0]))
     f0 = dense(f0, len(ids), r0, False)
