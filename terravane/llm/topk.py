@@ -2,10 +2,12 @@
 
 Components are scaled and floored to integers, so scores are exact. The rotation by the corpus' singular vectors puts most of
 every product into its first components; what the rest can add is at most the product of the rests' lengths. Candidates are
-cut into blocks by falling length. A first pass scores every query against the longest candidates, which sets a bar: the least
-length at which a candidate can still reach the query's k-th best. Queries are put in blocks by that length, and only pairs of
-blocks that pass it are made. A pair is one task's work, which stops at the first candidate under the bar, looks at the first
-components, and computes whole scores only for candidates that the bound leaves.
+ranked by falling length. A first pass scores every query against a block of the longest, which sets a bar: the least length at
+which a candidate can still reach the query's k-th best. The others are cut into groups of bounded bytes, of neighbours in
+length, and every candidate travels once, to its group's task; a query's row goes to those groups that hold the length it needs.
+A task holds its group and streams the queries, by rising need. A run of ``query_block`` queries looks at the blocks of ``block``
+candidates that pass its bar; runs that look equally far are multiplied together, first components first, and whole scores are
+computed only where the bound leaves a candidate.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take no part; an empty vector has a product of 0 with
 other empty ones; vectors of another dimension than a query's share no product with it; equal scores go by smaller id; a query
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import byte_view, stash
 
 FIRST = 16
+GROUP_BYTES = 1 << 25  # of vectors that a task holds
+TILE = 256  # queries multiplied at once
 LARGEST = 2.0**62
+TOP = (1 << 63) - 1
 SLACK = 1e-9  # of a bar, for rounding
 
 
@@ -66,88 +71,151 @@ def gram(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def products(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact products of rows with a vector; those beyond 64 bits stay at the largest number."""
-    if not c.size or float(np.abs(c).max()) * float(np.abs(q).max()) * len(q) < 2.0**62:
-        return c @ q
-    top = (1 << 63) - 1
-    return np.array([max(-top, min(top, sum(int(x) * int(y) for x, y in zip(row, q, strict=True)))) for row in c], np.int64)
+    """Exact products of rows with rows; those beyond 64 bits stay at the largest number."""
+    if not c.size or float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] < 2.0**62:
+        return np.einsum("ij,ij->i", c, q)
+    return np.array([max(-TOP, min(TOP, sum(int(x) * int(y) for x, y in zip(*rows, strict=True)))) for rows in zip(c, q, strict=True)], np.int64)
 
 
 def search(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 5, scale: float = 256.0, query_block: int = 1024, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of every query with all other rows."""
+    spark = rows.sparkSession
     given = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     got = stash(usable(given.where("id is not null"), scale), "vectors")
     rotations = {0: np.zeros((0, 0))} | {d: np.linalg.eigh(g)[1][:, ::-1] for d, g in gram(got).items()}
-    turn = rows.sparkSession.sparkContext.broadcast(rotations)  # one dim x dim matrix for each dimension
+    turn = spark.sparkContext.broadcast(rotations)  # one dim x dim matrix for each dimension
+    tasks = 4 * spark.sparkContext.defaultParallelism
 
-    # Longest first: blocks hold neighbours in length. Lengths are levels of a 64th of an octave, so what is ranked is few.
-    level = lambda x, parts: F.when(F.col(x) > 0, F.floor(F.log2(x) * parts)).otherwise(-9999).cast("int")
-    leveled = got.withColumn("level", level("norm", 64))
+    # Longest first. Lengths are levels of a 64th of an octave, so what is ranked is few.
+    level = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 64)).otherwise(-9999).cast("int")
+    leveled = got.withColumn("level", level)
     step = leveled.groupBy("dim", "level").agg(F.count("*").alias("_n"))
     falling = Window.partitionBy("dim").orderBy(F.desc("level"))
-    step = step.select("dim", "level", F.floor((F.sum("_n").over(falling) - F.col("_n")) / block).alias("cb"), "_n")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / block))
-    packed = leveled.join(step, ["dim", "level"]).groupBy("dim", "cb", part.alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"), F.max("norm").alias("longest"))
-    cands = stash(packed.withColumn("lead", (F.col("cb") == 0) & (F.col("part") == 0)), "candidates")
+    step = step.withColumn("_before", F.sum("_n").over(falling) - F.col("_n"))
+    held = F.least(F.floor(GROUP_BYTES / F.greatest(8 * F.col("dim"), F.lit(64))), F.ceil(F.sum("_n").over(Window.partitionBy("dim")) / tasks))
+    step = step.withColumn("_held", F.greatest(held, F.lit(block)))
+    part = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / size))
+    ranked = leveled.join(step, ["dim", "level"])
+    lead = (F.col("_before") < block) & (part(F.lit(block)) == 0)
+    cands = ranked.select("id", "dim", "v", "norm", F.floor(F.col("_before") / F.col("_held")).alias("cb"), part(F.col("_held")).alias("part"), lead.alias("lead"))
+    cands = stash(cands, "candidates")
     queries = stash(got.where("is_query").groupBy("id", "dim").agg(F.min(F.struct("v", "norm")).alias("q")).select("id", "dim", "q.v", "q.norm"), "queries")
     schema = "query_id long, vec_id long, score long"
 
     def run(batches):
+        held, side, now = [], None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield best(batch["queries"][i].values, batch["rows"][i].values, turn.value[batch["dim"][i].as_py()], k)
+            d, g, asks = (np.asarray(batch[c]) for c in ("dim", "g", "asks"))
+            starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (asks[1:] != asks[:-1])]) if len(d) else []
+            for a, b in zip(starts, [*starts[1:], len(d)], strict=True):
+                if now != (d[a], g[a]):
+                    held, side, now = [], None, (d[a], g[a])
+                some = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append((np.array(some["id"]), vectors(some["v"], d[a])))
+                elif held:
+                    side = side or ordered(held, turn.value[d[a]])
+                    least, bar = np.asarray(some["least"]), np.asarray(some["bar"])
+                    yield best(np.asarray(some["id"]), vectors(some["v"], d[a]), least, bar, side, turn.value[d[a]], k, query_block, block)
+
+    def meet(candidates: DataFrame, asking: DataFrame, parts: int) -> DataFrame:
+        """The k best rows of each group g for the queries sent to it; a group is one task's."""
+        sides = candidates.select("dim", "g", F.lit(False).alias("asks"), "id", "v", F.lit(0.0).alias("least"), F.lit(-TOP).alias("bar"))
+        both = sides.union(asking.select("dim", "g", F.lit(True).alias("asks"), "id", "v", "least", "bar"))
+        return both.repartitionById(parts, F.pmod("g", F.lit(parts)).cast("int")).sortWithinPartitions("dim", "g", "asks", "least").mapInArrow(run, schema)
 
     # A first pass against one block of the longest candidates gives each query a bar, and so the least length it still needs.
-    sizes = queries.groupBy("dim").agg(F.ceil(F.count("*") / query_block).alias("_m"))
-    probes = queries.join(sizes, "dim").groupBy("dim", F.pmod(F.xxhash64("id"), F.col("_m")).alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    lead = stash(probes.join(cands.where("lead").select("dim", "rows"), "dim").select("dim", "queries", "rows").mapInArrow(run, schema), "leads")
-    bars = lead.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("found"))
-    least = F.when((F.col("found") >= k) & (F.col("bar") > 0) & (F.col("norm") > 0), (F.col("bar") * (1 - SLACK) - 1e-3) / F.col("norm"))
-    needed = queries.join(bars, F.col("id") == F.col("query_id"), "left").select("id", "dim", "v", F.coalesce(least, F.lit(0.0)).alias("least")).withColumn("level", level("least", 4))
-    # Blocks of queries are numbered by rising need, so a block of candidates meets a run of them from the first on.
-    step = needed.groupBy("dim", "level").agg(F.ceil(F.count("*") / query_block).alias("_m"))
-    step = stash(step.withColumn("_upto", F.sum("_m").over(Window.partitionBy("dim").orderBy("level"))), "needs")
-    number = F.col("_upto") - F.col("_m") + F.pmod(F.xxhash64("id"), F.col("_m"))
-    blocks = needed.join(step, ["dim", "level"]).groupBy("dim", number.alias("qb")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    runs = F.broadcast(step.groupBy("dim").agg(F.collect_list(F.struct("level", "_upto")).alias("_runs")))  # a few hundred levels a dimension
-    meets = F.array_max(F.transform(F.filter("_runs", lambda x: x["level"] <= F.col("top")), lambda x: x["_upto"]))
-    spread = cands.where("not lead").withColumn("top", level("longest", 4)).join(runs, "dim").withColumn("_meets", meets).where("_meets > 0")
-    many = spread.agg(F.sum("_meets")).first()[0]
-    spread = spread.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_meets") - 1)))
-    # Pairs are few and heavy: dealt out evenly, as their keys are too few to spread them.
-    pairs = spread.join(blocks, ["dim", "qb"]).select("dim", "queries", "rows").repartition(min(10_000, many or 1))
-    near = lead.union(pairs.mapInArrow(run, schema))
+    slices = queries.groupBy("dim").agg(F.least(F.ceil(F.count("*") / query_block), F.lit(tasks)).alias("_m"))
+    probes = queries.join(F.broadcast(slices), "dim").withColumn("g", F.pmod(F.xxhash64("id"), F.col("_m")))
+    probes = probes.withColumns({"least": F.lit(0.0), "bar": F.lit(-TOP)})
+    longest = cands.where("lead").join(F.broadcast(slices), "dim").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    first = stash(meet(longest, probes, tasks), "leads")
+    bars = first.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("found"))
+    full = F.col("found") >= k
+    least = F.when(full & (F.col("bar") > 0) & (F.col("norm") > 0), (F.col("bar") * (1 - SLACK) - 1e-3) / F.col("norm"))
+    needed = queries.join(bars, F.col("id") == F.col("query_id"), "left")
+    needed = needed.select("id", "dim", "v", F.coalesce(least, F.lit(0.0)).alias("least"), F.when(full, F.col("bar")).otherwise(-TOP).alias("bar"))
+
+    # Groups are as few as the bytes a task holds allow, a row each on the driver.
+    rest = cands.where("not lead")
+    groups = sorted(map(tuple, rest.groupBy("dim", "cb", "part").agg(F.max("norm")).collect()))
+    numbered = spark.createDataFrame([(n, *g) for n, g in enumerate(groups)], "g long, dim int, cb long, part long, top double")
+    tops = F.broadcast(numbered.groupBy("dim").agg(F.collect_list(F.struct("g", "top")).alias("_tops")))
+    reached = F.transform(F.filter("_tops", lambda x: x["top"] >= F.col("least")), lambda x: x["g"])
+    asking = needed.join(tops, "dim").withColumn("g", F.explode(reached))
+    others = rest.join(F.broadcast(numbered.drop("top")), ["dim", "cb", "part"])
+    near = first.union(meet(others, asking, min(10_000, max(1, len(groups)))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best(queries: pa.StructArray, rows: pa.StructArray, rotation: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best rows of one block for each query of another."""
-    d = len(rotation)
-    read = lambda x: (np.asarray(x.field("id")), np.frombuffer(b"".join(x.field("v").to_pylist()), np.int64).reshape(len(x), d))
-    (qid, q), (cid, c) = read(queries), read(rows)
+def vectors(col: pa.Array, d: int) -> np.ndarray:
+    data, offs = byte_view(col)
+    return np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.int64).reshape(len(col), d)
+
+
+def turned(x: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths; the first components after the rotation, and beside them the length of the rest."""
+    y = x @ rotation
+    return np.sqrt((x.astype(float) ** 2).sum(1)), np.column_stack([y[:, :FIRST], np.sqrt((y[:, FIRST:] ** 2).sum(1))])
+
+
+def ordered(held: list, rotation: np.ndarray) -> tuple:
+    """The candidates of one group, longest first: ids, vectors, lengths, heads and the largest component."""
+    cid, c = (np.concatenate(x) for x in zip(*held, strict=True))
     norm = np.sqrt((c.astype(float) ** 2).sum(1))
     order = np.lexsort((cid, -norm))
-    cid, c, norm = cid[order], c[order], norm[order]
-    turned_c, turned_q = c @ rotation, q @ rotation
-    rest = lambda x: np.sqrt((x[:, FIRST:] ** 2).sum(1))
-    rest_c, rest_q, head_c = rest(turned_c), rest(turned_q), np.ascontiguousarray(turned_c[:, :FIRST])
-    length_q = np.sqrt((q.astype(float) ** 2).sum(1))
-    out: list[tuple] = []
-    for i in range(len(qid)):
-        own = np.flatnonzero(cid == qid[i])
-        probe = np.setdiff1d(np.arange(min(len(cid), k + len(own))), own)
-        exact = products(c[probe], q[i])
-        bar = np.sort(exact)[-k] if len(exact) >= k else -np.inf
-        live = len(cid) if not length_q[i] or bar <= 0 else int(np.searchsorted(-norm, -(bar * (1 - SLACK) - 1e-3) / length_q[i], "right"))
-        upper = head_c[:live] @ turned_q[i, :FIRST] + rest_c[:live] * rest_q[i]
-        # Raise the bar with the candidates that look best, then score all that may still reach it.
-        if live > 8 * k:
-            some = np.setdiff1d(np.argpartition(upper, -4 * k)[-4 * k :], own)
-            bar = max(bar, np.sort(products(c[some], q[i]))[-k]) if len(some) >= k else bar
-        pick = np.setdiff1d(np.flatnonzero(upper >= bar - 1e-3 - SLACK * (np.abs(upper) + norm[:live] * length_q[i])), own)
-        score = products(c[pick], q[i])
-        top = np.lexsort((cid[pick], -score))[:k]
-        out += [(qid[i], x, s) for x, s in zip(cid[pick[top]].tolist(), score[top].tolist(), strict=True)]
-    cols = list(zip(*out, strict=True)) if out else [[], [], []]
+    cid, c = cid[order], c[order]
+    return cid, c, *turned(c, rotation), float(np.abs(c).max()) if c.size else 0.0
+
+
+def best(qid: np.ndarray, q: np.ndarray, least: np.ndarray, bar: np.ndarray, side: tuple, rotation: np.ndarray, k: int, query_block: int, block: int) -> pa.RecordBatch:
+    """The k best candidates of one group for each query, those under a query's bar left out; queries come by rising need."""
+    norm = side[2]
+    length, head = turned(q, rotation)
+    # Each run of queries looks at the blocks that its least need leaves; neighbours that look equally far go together.
+    first = np.arange(0, len(qid), query_block)
+    live = np.minimum(-(-np.searchsorted(-norm, -least[first], "right") // block) * block, len(norm))
+    out, a = [], 0
+    while a < len(first):
+        b = a + 1
+        while b < len(first) and live[b] == live[a] and (b - a) * query_block < TILE:
+            b += 1
+        for i in range(first[a], min(len(qid), first[a] + (b - a) * query_block), TILE):
+            cut = slice(i, min(len(qid), first[a] + (b - a) * query_block, i + TILE))
+            out.append(tile(qid[cut], q[cut], length[cut], head[cut], bar[cut], side, int(live[a]), k))
+        a = b
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+
+def tile(qid: np.ndarray, q: np.ndarray, length: np.ndarray, head: np.ndarray, bar: np.ndarray, side: tuple, live: int, k: int) -> tuple:
+    """Query ids, candidate ids and scores of the k best among the first candidates."""
+    cid, c, norm, head_c, most = side
+    small = most * float(np.abs(q).max() if q.size else 0) * q.shape[1] < 2.0**53  # then products of floats are exact
+    bar, last = bar.copy(), np.full(len(qid), TOP)  # the k-th score so far and its id
+    at, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
+    lo, size = 0, 64
+    while lo < live:
+        hi = min(live, lo + size)
+        upper = head @ head_c[lo:hi].T
+        under = np.where(bar <= -TOP, -np.inf, bar - 1e-3 - SLACK * (np.abs(bar) + 2 * norm[lo] * length))
+        passing = upper >= under[:, None]
+        if small and np.count_nonzero(passing) * 16 > passing.size:
+            score = q.astype(float) @ c[lo:hi].astype(float).T
+            i, j = np.nonzero(score >= bar[:, None])
+            s = score[i, j].astype(np.int64)
+        else:
+            i, j = np.nonzero(passing)
+            s = np.concatenate([products(c[lo + j[x : x + 65536]], q[i[x : x + 65536]]) for x in range(0, max(1, len(i)), 65536)])
+        j = cid[lo + j]
+        good = (j != qid[i]) & ((s > bar[i]) | (s == bar[i]) & (j <= last[i]))
+        at, ids, scores = np.concatenate([at, i[good]]), np.concatenate([ids, j[good]]), np.concatenate([scores, s[good]])
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kth = rank == k - 1
+        bar[at[kth]], last[at[kth]] = scores[kth], ids[kth]
+        at, ids, scores = at[rank < k], ids[rank < k], scores[rank < k]
+        lo, size = hi, min(4096, 4 * size)
+    return qid[at], ids, scores
