@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import scalar
 from terravane.operators import cluster, graph, neighbours, nmf, order, regions, rle, slic, stats
-from terravane.plans import labelling
+from terravane.plans import labelling, queries
 from terravane.sources import documents, tables
 
 
@@ -182,3 +182,15 @@ def test_crops_and_inverses(spark):
     one = spark.createDataFrame([([2.0, 0.0, 0.0, 4.0], [1.0, 2.0, 2.0, 4.0], -0.0)], "a array<double>, b array<double>, x double")
     row = one.select(scalar.inverse(F.col("a"), 2).alias("a"), scalar.inverse(F.col("b"), 2).alias("b"), scalar.inverse_or_zero(F.col("x")).alias("x"), scalar.matrix_dot(F.col("b"), F.array(F.lit(1.0), F.lit(1.0)), 2).alias("d")).first()
     assert row.a == [0.5, 0.0, 0.0, 0.25] and row.b is None and row.x == -sys.float_info.max and row.d == [3.0, 6.0]
+
+
+def test_safe_inverses_of_odd_values(spark, tmp_path):
+    """Nulls, NaN, both zeros and inverses beyond the largest number are what the SQL makes of them."""
+    duckdb = pytest.importorskip("duckdb")
+    odd = [None, math.nan, 0.0, -0.0, math.inf, 1e-310, -1e-310, 1e-303, 3e-12, 0.05, -0.05, 0.07]
+    rows = [(i, 1, x, y) for i, (x, y) in enumerate(zip(odd, odd[::-1], strict=True))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_tax double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    found = sorted(map(tuple, queries.queries()["safe_inverses"](spark, str(tmp_path)).collect()))
+    assert repr(found) == repr(sorted(con.sql(queries.oracle_sql()["safe_inverses"]).fetchall()))
