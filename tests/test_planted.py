@@ -185,9 +185,9 @@ def test_crops_and_inverses(spark):
 
 
 def test_safe_inverses_of_odd_values(spark, tmp_path):
-    """Nulls, NaN, both zeros and inverses beyond the largest number are what the SQL makes of them."""
+    """Nulls, NaN, both zeros, large inverses and those beyond the largest number are what the SQL makes of them."""
     duckdb = pytest.importorskip("duckdb")
-    odd = [None, math.nan, 0.0, -0.0, math.inf, 1e-310, -1e-310, 1e-303, 3e-12, 0.05, -0.05, 0.07]
+    odd = [None, math.nan, 0.0, -0.0, math.inf, 1e-310, -1e-310, 1e-303, 3e-12, 2.2618977521086377e-10, 0.05, -0.05, 0.07]
     rows = [(i, 1, x, y) for i, (x, y) in enumerate(zip(odd, odd[::-1], strict=True))]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_tax double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     con = duckdb.connect()
